@@ -7,6 +7,7 @@ from types import ModuleType
 
 MODULES = [
     "sweep_queries",
+    "adapt_queries",
     "metric_queries",
 ]
 

@@ -347,9 +347,9 @@ def _filled(s, rows, passthrough=False):
 
 
 @query("impute_apply", f"""WITH {CELLS_SQL}, {FILLS_CTE},
- both AS (SELECT seed, draw, n, row_id, 'train' AS role, {', '.join(views.ARD_FEATURES)} FROM cells
+ sides AS (SELECT seed, draw, n, row_id, 'train' AS role, {', '.join(views.ARD_FEATURES)} FROM cells
    UNION ALL SELECT seed, draw, n, row_id, 'test', {', '.join(views.ARD_FEATURES)} FROM split, draws, grid WHERE role = 'test')
-SELECT seed, draw, n, role, row_id, {APPLY_COLS} FROM both JOIN f USING (seed, draw, n)""")
+SELECT seed, draw, n, role, row_id, {APPLY_COLS} FROM sides JOIN f USING (seed, draw, n)""")
 def impute_apply(spark, d):
     s = array_sample(spark, d)
     cols = [*BY, "row_id", "x"]

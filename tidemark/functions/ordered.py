@@ -17,19 +17,21 @@ from pyspark.sql import functions as F
 
 # Buckets per power of two for numeric order.
 DIGIT_STEPS = 4096
-# Keeps digits of |v| positive: doubles reach down to 2**-1074.
-DIGIT_BIAS = 1100 * DIGIT_STEPS
+# Selection only orders one bucket per wanted rank, so its histogram is coarser.
+SELECT_STEPS = 256
+# Keeps exponents positive: doubles reach down to 2**-1074.
+DIGIT_BIAS = 1100
 # Hex digits of an md5 used as its bucket: 16**3 = 4096 buckets per group.
 HASH_BUCKET_CHARS = 3
 
 
-def order_digit(value: Column) -> Column:
-    """Monotone BIGINT bucket of a numeric value, relative width 1/4096."""
+def order_digit(value: Column, steps: int = DIGIT_STEPS) -> Column:
+    """Monotone BIGINT bucket of a numeric value, of relative width ``1 / steps``."""
     v = value.cast("double")
     size = F.abs(v)
     exponent = F.floor(F.log2(size))
     fraction = size / F.pow(F.lit(2.0), exponent) - 1
-    digit = exponent * DIGIT_STEPS + F.floor(fraction * DIGIT_STEPS) + DIGIT_BIAS
+    digit = (exponent + DIGIT_BIAS) * steps + F.floor(fraction * steps)
     return (
         F.when(v == 0, F.lit(0).cast("bigint"))
         .when(v < 0, -digit)
@@ -180,7 +182,8 @@ def ordered_running(
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]
+    df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],
+    steps: int = SELECT_STEPS,
 ) -> DataFrame:
     """Linear-interpolated quantiles per group, one column per entry of ``probs``.
 
@@ -191,7 +194,7 @@ def exact_quantiles(
     rows = df.where(F.col(value).isNotNull()).select(
         *by,
         F.col(value).cast("double").alias("_v"),
-        order_digit(F.col(value)).alias("_d"),
+        order_digit(F.col(value), steps).alias("_d"),
     )
     whole = Window.partitionBy(*by)
     hist = (

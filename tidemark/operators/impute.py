@@ -23,6 +23,8 @@ _SPEC_DDL = (
 )
 # A per-cell table up to this many rows is broadcast; beyond it Spark joins by key.
 MAX_BROADCAST_CELLS = 50_000
+# Many sources with one histogram each: a coarse one combines well before the shuffle.
+FILL_STEPS = 32
 
 
 def source_spec(sources: Sequence[Source]) -> Column:
@@ -73,7 +75,7 @@ def fit_continuous(long: DataFrame, by: Sequence[str], how: str = "median") -> D
     keys = [*by, "src"]
     if how == "mean":
         return long.where(F.col("unit").isNotNull()).groupBy(*keys).agg(F.avg("unit").alias("fill"))
-    return exact_quantiles(long, keys, "unit", {"fill": 0.5})
+    return exact_quantiles(long, keys, "unit", {"fill": 0.5}, FILL_STEPS)
 
 
 def _counts(long: DataFrame, keys: Sequence[str]) -> DataFrame:

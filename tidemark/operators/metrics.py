@@ -34,7 +34,21 @@ PINBALL_LEVELS = {
 }
 PROBABILITY_FLOOR = 1e-15
 
-_Y, _P, _TM = F.col("y_true"), F.col("y_pred"), F.col("train_mean")
+
+def _y() -> Column:
+    return F.col("y_true")
+
+
+def _p() -> Column:
+    return F.col("y_pred")
+
+
+def _tm() -> Column:
+    return F.col("train_mean")
+
+
+def _s() -> Column:
+    return F.col("score")
 
 
 def _ratio(top: Column, bottom: Column) -> Column:
@@ -43,30 +57,30 @@ def _ratio(top: Column, bottom: Column) -> Column:
 
 def regression_aggregates() -> dict[str, Column]:
     """Metrics that are expressions over ordinary aggregates."""
-    err = _Y - _P
+    err = _y() - _p()
     mse, mae = F.avg(err * err), F.avg(F.abs(err))
-    null_mse = F.avg((_Y - _TM) * (_Y - _TM))
-    var_y, var_p, var_e = F.var_pop(_Y), F.var_pop(_P), F.var_pop(err)
-    cov = F.covar_pop(_Y, _P)
-    varies = (F.min(_Y) != F.max(_Y)) & (F.min(_P) != F.max(_P))
+    null_mse = F.avg((_y() - _tm()) * (_y() - _tm()))
+    var_y, var_p, var_e = F.var_pop(_y()), F.var_pop(_p()), F.var_pop(err)
+    cov = F.covar_pop(_y(), _p())
+    varies = (F.min(_y()) != F.max(_y())) & (F.min(_p()) != F.max(_p()))
     pearson = F.when(varies, cov / F.sqrt(var_y * var_p))
     r2 = F.when(null_mse != 0, 1 - mse / null_mse)
-    spread = var_y + var_p + (F.avg(_Y) - F.avg(_P)) * (F.avg(_Y) - F.avg(_P))
+    spread = var_y + var_p + (F.avg(_y()) - F.avg(_p())) * (F.avg(_y()) - F.avg(_p()))
     out = {
         "r2_test": r2,
         "skill_score_pct": r2 * 100,
         "rmse": F.sqrt(mse),
         "mae": mae,
         "max_error": F.max(F.abs(err)),
-        "nrmse": _ratio(F.sqrt(mse), F.max(_Y) - F.min(_Y)),
+        "nrmse": _ratio(F.sqrt(mse), F.max(_y()) - F.min(_y())),
         "pearson_r": pearson,
         "ccc": _ratio(2 * cov, spread),
-        "explained_variance": F.when(F.min(_Y) != F.max(_Y), 1 - var_e / var_y)
+        "explained_variance": F.when(F.min(_y()) != F.max(_y()), 1 - var_e / var_y)
         .when(F.min(err) == F.max(err), 1.0).otherwise(0.0),
         "mean_bias": F.avg(-err),
-        "rsr": F.when(F.min(_Y) != F.max(_Y), F.sqrt(mse) / F.stddev_pop(_Y)),
-        "cv_rmse": _ratio(F.sqrt(mse), F.avg(_Y)),
-        "mase": _ratio(mae, F.avg(F.abs(_Y - _TM))),
+        "rsr": F.when(F.min(_y()) != F.max(_y()), F.sqrt(mse) / F.stddev_pop(_y())),
+        "cv_rmse": _ratio(F.sqrt(mse), F.avg(_y())),
+        "mase": _ratio(mae, F.avg(F.abs(_y() - _tm()))),
         "pearson_r2": pearson * pearson,
         "null_mse": null_mse,
     }
@@ -80,16 +94,18 @@ def simple_regression(preds: DataFrame, by: Sequence[str], names: Sequence[str])
     return preds.groupBy(*by).agg(*[exprs[n].alias(n) for n in names])
 
 
-# Series whose exact quantiles the metrics need.
-_SERIES = {"abs_err": F.abs(_Y - _P), "bias": _P - _Y, "y": _Y, "p": _P}
+def _series() -> dict[str, Column]:
+    """Series whose exact quantiles the metrics need."""
+    return {"abs_err": F.abs(_y() - _p()), "bias": _p() - _y(), "y": _y(), "p": _p()}
 
 
 def prediction_quantiles(preds: DataFrame, by: Sequence[str], series: Sequence[str],
                          probs: dict[str, float]) -> DataFrame:
     """Exact quantiles of several error series at once: columns ``<series>_<prob>``."""
+    values = _series()
     stacked = preds.select(
         *by,
-        F.explode(F.array(*[F.struct(F.lit(s).alias("s"), _SERIES[s].alias("v"))
+        F.explode(F.array(*[F.struct(F.lit(s).alias("s"), values[s].alias("v"))
                             for s in series])).alias("e"),
     ).select(*by, F.col("e.s").alias("_s"), F.col("e.v").alias("_x"))
     long = exact_quantiles(stacked, [*by, "_s"], "_x", probs)
@@ -110,7 +126,7 @@ def median_bias(preds: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _d2_column(med: Column) -> Column:
-    top, bottom = F.sum(F.abs(_Y - _P)), F.sum(F.abs(_Y - med))
+    top, bottom = F.sum(F.abs(_y() - _p())), F.sum(F.abs(_y() - med))
     score = F.when(bottom != 0, 1 - top / bottom).when(top == 0, 1.0).otherwise(0.0)
     return F.when(F.count(F.lit(1)) >= 2, score)
 
@@ -120,8 +136,8 @@ def _hit_columns() -> list[Column]:
         return F.count_if(y_in & p_in) / F.count_if(y_in)
 
     return [
-        share(_Y >= F.col("y_q90"), _P >= F.col("p_q90")).alias("top_decile_hit_rate"),
-        share(_Y <= F.col("y_q10"), _P <= F.col("p_q10")).alias("bottom_decile_hit_rate"),
+        share(_y() >= F.col("y_q90"), _p() >= F.col("p_q90")).alias("top_decile_hit_rate"),
+        share(_y() <= F.col("y_q10"), _p() <= F.col("p_q10")).alias("bottom_decile_hit_rate"),
     ]
 
 
@@ -140,8 +156,8 @@ def _pooled(preds: DataFrame, by: Sequence[str]) -> DataFrame:
     """Observed and predicted values on one axis, with counts of either side."""
     stacked = preds.select(
         *by,
-        F.explode(F.array(F.struct(_Y.cast("double").alias("v"), F.lit(1).alias("y")),
-                          F.struct(_P.cast("double").alias("v"), F.lit(0).alias("y")))).alias("e"),
+        F.explode(F.array(F.struct(_y().cast("double").alias("v"), F.lit(1).alias("y")),
+                          F.struct(_p().cast("double").alias("v"), F.lit(0).alias("y")))).alias("e"),
     ).select(*by, F.col("e.v").alias("v"), F.col("e.y").alias("is_y"))
     return ordered_running(
         stacked, by, "v", {"cy": F.col("is_y"), "cp": 1 - F.col("is_y")}, with_next=True
@@ -257,36 +273,33 @@ def regression_metrics(preds: DataFrame, by: Sequence[str]) -> DataFrame:
     return reduce(lambda l, rgt: l.join(rgt, by, "left"), parts).select(*by, *REGRESSION_METRICS)
 
 
-_S = F.col("score")
-
-
 def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
 def classification_aggregates() -> dict[str, Column]:
-    y = _Y.cast("double")
-    s = F.least(F.greatest(_S, F.lit(PROBABILITY_FLOOR)), F.lit(1 - PROBABILITY_FLOOR))
+    y = _y().cast("double")
+    s = F.least(F.greatest(_s(), F.lit(PROBABILITY_FLOOR)), F.lit(1 - PROBABILITY_FLOOR))
     ll = y * F.ln(s) + (1 - y) * F.ln(1 - s)
     rate = F.col("train_pos_rate")
     null_ll = y * F.ln(rate) + (1 - y) * F.ln(1 - rate)
-    both = (F.min(_Y) == 0) & (F.max(_Y) == 1)
-    hit = (_S >= 0.5).cast("int")
-    tp = F.count_if((hit == 1) & (_Y == 1))
-    wrong = F.count_if(hit != _Y)
+    both = (F.min(_y()) == 0) & (F.max(_y()) == 1)
+    hit = (_s() >= 0.5).cast("int")
+    tp = F.count_if((hit == 1) & (_y() == 1))
+    wrong = F.count_if(hit != _y())
     out = {
-        "brier": F.avg((y - _S) * (y - _S)),
+        "brier": F.avg((y - _s()) * (y - _s())),
         "log_loss": F.when(both, -F.avg(ll)),
         "balanced_accuracy": F.when(
             both,
-            (tp / F.count_if(_Y == 1) + F.count_if((hit == 0) & (_Y == 0)) / F.count_if(_Y == 0)) / 2,
+            (tp / F.count_if(_y() == 1) + F.count_if((hit == 0) & (_y() == 0)) / F.count_if(_y() == 0)) / 2,
         ),
         "f1": F.coalesce(F.when(2 * tp + wrong > 0, 2.0 * tp / (2 * tp + wrong)), F.lit(0.0)),
-        "accuracy": F.avg((hit == _Y).cast("double")),
+        "accuracy": F.avg((hit == _y()).cast("double")),
         "mcfadden_pseudo_r2": F.when(
             both & (F.min(rate) > 0) & (F.max(rate) < 1), 1 - F.sum(ll) / F.sum(null_ll)),
     }
-    return {n: F.when(F.bool_and(_finite(_S)), c) for n, c in out.items()}
+    return {n: F.when(F.bool_and(_finite(_s())), c) for n, c in out.items()}
 
 
 def simple_classification(preds: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -297,10 +310,10 @@ def simple_classification(preds: DataFrame, by: Sequence[str], names: Sequence[s
 def ranking_quality(preds: DataFrame, by: Sequence[str]) -> DataFrame:
     """Area under the ROC curve and average precision, from distinct thresholds."""
     by = list(by)
-    finite = preds.withColumn("score", F.when(_finite(_S), _S).otherwise(F.lit(-1e308)))
+    finite = preds.withColumn("score", F.when(_finite(_s()), _s()).otherwise(F.lit(-1e308)))
     run = ordered_running(
         finite.withColumn("_neg", -F.col("score")), by, "_neg",
-        {"pos": (_Y == 1).cast("bigint"), "neg": (_Y == 0).cast("bigint"),
+        {"pos": (_y() == 1).cast("bigint"), "neg": (_y() == 0).cast("bigint"),
          "bad": (F.col("score") == F.lit(-1e308)).cast("bigint")},
     )
     pos, neg = F.col("pos"), F.col("neg")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,11 @@ class Sample:
     n_grid: list[int]
     seeds: list[int]
     draws: list[int]
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
 
     @property
     def n_cells(self) -> int:
@@ -56,9 +62,11 @@ def sample_rows(rows: DataFrame, outcome: str, seeds: Sequence[int], draws: Sequ
     split = D.split_random(observed, seeds, test_size, row_id)
     ranked = D.row_ranks(split.where(F.col("role") == "train").drop("role"), draws, row_id,
                          limit=max(n_grid))
-    return Sample(D.nested_prefix(ranked, n_grid),
-                  split.where(F.col("role") == "test").drop("role"),
-                  list(n_grid), list(seeds), list(draws))
+    # Ranked rows feed every statistic of every cell; held once, rebuilt if lost.
+    ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
+    test = split.where(F.col("role") == "test").drop("role").persist(StorageLevel.MEMORY_AND_DISK)
+    return Sample(D.nested_prefix(ranked, n_grid), test, list(n_grid), list(seeds), list(draws),
+                  [ranked, test])
 
 
 def test_cells(sample: Sample) -> DataFrame:
