@@ -9,6 +9,8 @@ MODULES = [
     "sweep_queries",
     "adapt_queries",
     "metric_queries",
+    "result_queries",
+    "source_queries",
 ]
 
 
