@@ -11,6 +11,7 @@ MODULES = [
     "metric_queries",
     "result_queries",
     "source_queries",
+    "model_queries",
 ]
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.ordered import exact_quantiles
 from tidemark.operators import design as D
 from tidemark.operators import impute as I
+from tidemark.operators import linear as L
 from tidemark.operators import metrics as M
 
 BY = ["seed", "draw", "n"]
@@ -118,3 +119,51 @@ def baseline_sweep(rows: DataFrame, y: str, x: str, seeds: Sequence[int], draws:
         F.count(F.lit(1)).alias("n_test"),
         F.max("slope").alias("slope"), F.max("intercept").alias("intercept"),
         *[exprs[m].alias(m) for m in metrics])
+
+
+def source_orders(pairs: DataFrame, sources: Sequence[D.Source]) -> DataFrame:
+    """Permuted source positions of each (seed, draw) as one array."""
+    names = [s.name for s in sources]
+    ranks = D.source_ranks(pairs, names).withColumn(
+        "src", (F.array_position(F.array(*[F.lit(n) for n in names]), F.col("source")) - 1).cast("int"))
+    packed = F.array_sort(F.collect_list(F.struct("srk", "src")))
+    return ranks.groupBy("seed", "draw").agg(packed.alias("_o")).select("seed", "draw", F.col("_o.src").alias("src_order"))
+
+
+@dataclass
+class LinearSweep:
+    fits: DataFrame
+    predictions: DataFrame
+    fills: DataFrame
+    sample: Sample
+
+
+def linear_sweep(sample: Sample, sources: Sequence[D.Source], k_grid: Sequence[int],
+                 models: Sequence[str] = ("ols", "ridge", "lasso"), y: str = "y") -> LinearSweep:
+    """Impute, fit and predict every (model, seed, draw, N, K) cell in one plan."""
+    spark = sample.train.sparkSession
+    fills = I.fit_fills(sample.train, BY, sources)
+    packed = I.pack_fills(fills, BY)
+    train = I.apply_fills(L.with_fold(sample.train), packed, BY, sources, n_cells=sample.n_cells)
+    test = I.apply_fills(test_cells(sample), packed, BY, sources, n_cells=sample.n_cells)
+    pairs = D.repeat_pairs(spark, pairs=[(s, d) for s in sample.seeds for d in sample.draws])
+    fits = L.fit_linear(train, BY, sources, source_orders(pairs, sources), k_grid, models, y=y)
+    preds = L.predict_linear(test, fits, BY, sample.n_cells, ["row_id", y]).withColumnRenamed(y, "y_true")
+    means = sample.train.groupBy(*BY).agg(F.avg(y).alias("train_mean"))
+    preds = I.join_cells(preds, means, BY, sample.n_cells)
+    return LinearSweep(fits, preds, fills, sample)
+
+
+def result_rows(preds: DataFrame, sample: Sample, experiment_id: str, model: str | None = None,
+                by: Sequence[str] = BY, min_n: int = 1) -> DataFrame:
+    """Result rows of predicted cells: identity, sizes, all metrics, flags, status and error."""
+    by = list(by)
+    sizes = preds.groupBy(*by).agg(F.count(F.lit(1)).alias("n_test_total"))
+    metrics = M.regression_metrics(preds, by)
+    flags = I.constant_prediction(preds, by)
+    out = sizes.join(metrics, by).join(flags, by)
+    if model is not None:
+        out = out.withColumn("model", F.lit(model))
+    skipped = F.when(F.col("n") < min_n, "below_cv_floor")
+    return out.withColumn("experiment_id", F.lit(experiment_id)).withColumn(
+        "status", F.when(skipped.isNotNull(), "skipped").otherwise("ok")).withColumn("error", skipped)
