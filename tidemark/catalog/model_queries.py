@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 from tidemark import views
 from tidemark.catalog.metric_queries import SIMPLE
 from tidemark.catalog.registry import query, r, rounded
-from tidemark.catalog.sweep_queries import APPLY_COLS, BY, CELLS_SQL, FILLS_CTE, K_GRID, SEEDS, array_sample
+from tidemark.catalog.sweep_queries import (
+    APPLY_COLS,
+    BY,
+    CELLS_SQL,
+    FILLS_CTE,
+    K_GRID,
+    SEEDS,
+    _selected,
+    array_sample,
+)
 from tidemark.operators import design as D
 from tidemark.operators import impute as I
 from tidemark.operators import linear as L
@@ -79,12 +88,17 @@ def lasso_cv(spark, d):
     return _fit_rows(linear(spark, d, ["lasso"]))
 
 
+SWEEP_METRICS = ["r2_test", "rmse", "mae", "max_error", "pearson_r", "ccc", "explained_variance", "mean_bias", "mase"]
+
+
 @query("linear_sweep")
 def linear_sweep(spark, d):
-    """All linear models, all cells, all thirty metrics."""
+    """All linear models in all cells; K diagnostics beside the metrics."""
     sweep = linear(spark, d, ["ols", "ridge", "lasso"])
-    preds = sweep.predictions.persist(StorageLevel.MEMORY_AND_DISK)
-    return S.result_rows(preds, sweep.sample, "exp", by=["model", *BY, "k"])
+    exprs = M.regression_aggregates()
+    scores = sweep.predictions.groupBy("model", *BY, "k").agg(*[exprs[m].alias(m) for m in SWEEP_METRICS])
+    unseen = I.k_unobserved(sweep.fills, _selected(spark), BY)
+    return scores.join(unseen, [*BY, "k"])
 
 
 def cell(spark, d, y="y", standardized=False, passthrough=False):
@@ -149,21 +163,21 @@ def boosted_early_stop(spark, d):
     return scored(fitted, test, "boosted_leaf").withColumn("best_rounds", F.lit(fitted.diagnostics["best_rounds"]))
 
 
-STACK = {"extra_trees": {"trees": 10, "depth": 5}, "boosted_leaf": ROUNDS,
-         "extra_trees_classifier": {"trees": 10, "depth": 5}, "boosted_leaf_classifier": ROUNDS,
-         "neural_net_classifier": {"iterations": 15}}
+STACK = {"extra_trees": {"trees": 5, "depth": 4}, "boosted_leaf": {"rounds": 4},
+         "extra_trees_classifier": {"trees": 5, "depth": 4}, "boosted_leaf_classifier": {"rounds": 4},
+         "neural_net_classifier": {"iterations": 5}}
 
 
 @query("stacking")
 def stacking(spark, d):
     train, test = cell(spark, d, standardized=True)
-    return Z.regression_stack(train, 3, 3, STACK).predict(test).select("row_id", "label", F.col("prediction").alias("y_pred"))
+    return Z.regression_stack(train, 3, 2, STACK).predict(test).select("row_id", "label", F.col("prediction").alias("y_pred"))
 
 
 @query("stacking_classifier")
 def stacking_classifier(spark, d):
     train, test = cell(spark, d, "y_bin", True)
-    return Z.classification_stack(train, 3, 3, STACK).predict(test).select("row_id", "label", F.col("prediction").alias("score"))
+    return Z.classification_stack(train, 3, 2, STACK).predict(test).select("row_id", "label", F.col("prediction").alias("score"))
 
 
 @query("fit_diagnostics")

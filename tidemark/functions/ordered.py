@@ -15,10 +15,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Buckets per power of two for numeric order.
-DIGIT_STEPS = 4096
+# Buckets per power of two for numeric order. Fine enough to split a hot group
+# some thousand ways, coarse enough that bucket totals stay small.
+DIGIT_STEPS = 512
 # Selection only orders one bucket per wanted rank, so its histogram is coarser.
-SELECT_STEPS = 256
+SELECT_STEPS = 128
 # Keeps exponents positive: doubles reach down to 2**-1074.
 DIGIT_BIAS = 1100
 # Hex digits of an md5 used as its bucket: 16**3 = 4096 buckets per group.

@@ -210,33 +210,44 @@ def spearman(preds: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+# Bits of the predicted rank handled per level of the inversion count.
+RADIX_BITS = 4
+
+
 def kendall(preds: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Kendall tau-b by counting inversions bit by bit of the predicted rank.
+    """Kendall tau-b by counting inversions digit by digit of the predicted rank.
 
-    A pair is inverted exactly when, at the highest bit where the two predicted
-    ranks differ, the row with the smaller observed value holds the 1. Rows are
-    grouped by (bit, higher bits), so work is n log n and no pair is formed.
+    A pair is inverted exactly when, at the highest base-16 digit where the two
+    predicted ranks differ, the row with the smaller observed value has the
+    larger digit. Rows are grouped by (level, higher digits) and running counts
+    per digit are taken in observed order, so work is n log n and no pair is
+    formed.
     """
     by = list(by)
     pairs = _pairs(preds, by)
     ry = _rank_table(pairs, by, "y_true", "y").drop("_n")
     rp = _rank_table(pairs, by, "y_pred", "p")
-    levels = F.ceil(F.log2(F.col("_n").cast("double") + 1)).cast("int")
-    code = F.col("p_before").cast("bigint")
-    bits = (
+    width = F.ceil(F.log2(F.col("_n").cast("double") + 1) / RADIX_BITS).cast("int")
+    levels = F.sequence(F.lit(0), F.greatest(width, F.lit(1)) - 1)
+    digits = 1 << RADIX_BITS
+    coded = (
         pairs.join(rp, [*by, "y_pred"])
-        .select(*by, "y_true", "_c", code.alias("_code"),
-                F.explode(F.sequence(F.lit(0), F.greatest(levels, F.lit(1)) - 1)).alias("_bit"))
-        .select(*by, "y_true", "_c", "_bit",
-                F.expr("shiftright(_code, _bit + 1)").alias("_high"),
-                F.expr("shiftright(_code, _bit) & 1").alias("_set"))
+        .select(*by, "y_true", "_c", F.col("p_before").cast("bigint").alias("_code"),
+                F.explode(levels).alias("_level"))
+        .select(*by, "y_true", "_c", "_level",
+                F.expr(f"shiftright(_code, {RADIX_BITS} * (_level + 1))").alias("_high"),
+                F.expr(f"shiftright(_code, {RADIX_BITS} * _level) & {digits - 1}").alias("_digit"))
     )
     run = ordered_running(
-        bits, [*by, "_bit", "_high"], "y_true",
-        {"ones": F.col("_c") * F.col("_set"), "zeros": F.col("_c") * (1 - F.col("_set"))},
+        coded, [*by, "_level", "_high"], "y_true",
+        {f"d{g}": F.when(F.col("_digit") == g, F.col("_c")).otherwise(0) for g in range(digits)},
     )
-    inverted = run.groupBy(*by).agg(
-        F.sum(F.col("zeros").cast("double") * F.col("ones_before")).alias("_disc"))
+    above = F.lit(0).cast("double")
+    crossed = F.lit(0).cast("double")
+    for g in reversed(range(digits)):
+        crossed = crossed + F.col(f"d{g}") * above
+        above = above + F.col(f"d{g}_before")
+    inverted = run.groupBy(*by).agg(F.sum(crossed).alias("_disc"))
 
     def tied(table: DataFrame, count: str, out: str) -> DataFrame:
         c = F.col(count).cast("double")

@@ -146,7 +146,8 @@ def fit_boosted_early_stop(train: DataFrame, seed: int = 0, share: float = 0.2,
     p = {**PARAMS["boosted_leaf"], **(params or {})}
     held = F.conv(F.substring(seed_hash(seed, "e", F.col("row_id")), 1, 8), 16, 10).cast("double") < share * 2.0**32
     est = make_estimator("boosted_leaf", 1, 1, seed, p)
-    est = est.setValidationIndicatorCol("held").setValidationTol(p["tol"])
+    est = est.setValidationIndicatorCol("held")
+    est.set(est.validationTol, p["tol"])
     model = est.fit(train.withColumn("held", held))
     return Fitted(model, describe(model))
 

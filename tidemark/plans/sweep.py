@@ -158,6 +158,8 @@ def result_rows(preds: DataFrame, sample: Sample, experiment_id: str, model: str
                 by: Sequence[str] = BY, min_n: int = 1) -> DataFrame:
     """Result rows of predicted cells: identity, sizes, all metrics, flags, status and error."""
     by = list(by)
+    # The metrics take several passes over the predictions.
+    preds = preds.persist(StorageLevel.MEMORY_AND_DISK)
     sizes = preds.groupBy(*by).agg(F.count(F.lit(1)).alias("n_test_total"))
     metrics = M.regression_metrics(preds, by)
     flags = I.constant_prediction(preds, by)
