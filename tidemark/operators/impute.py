@@ -42,7 +42,8 @@ def source_spec(sources: Sequence[Source]) -> Column:
 def assemble(df: DataFrame, features: Sequence[str], out: str = "x") -> DataFrame:
     """Fold feature columns into one array; NaN becomes NULL."""
     cols = [F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in features]
-    return df.withColumn(out, F.array(*cols)).drop(*features)
+    rest = [c for c in df.columns if c not in features]
+    return df.select(*rest, F.array(*cols).alias(out))
 
 
 def _slice(x: Column, s: Column) -> Column:

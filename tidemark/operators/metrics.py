@@ -332,8 +332,8 @@ def ranking_quality(preds: DataFrame, by: Sequence[str]) -> DataFrame:
     n1, n0 = F.col("pos_total").cast("double"), F.col("neg_total").cast("double")
     usable = (F.max("pos_total") > 0) & (F.max("neg_total") > 0) & (F.max("bad_total") == 0)
     # A negative outranked by a positive is one pair won, a tie half a pair.
-    won = F.sum((neg.cast("double") * F.col("pos_before") + neg * pos / 2) / (n1 * n0))
-    precision = F.sum(F.when(pos > 0, pos / n1 * tp / (tp + fp)))
+    won = F.sum(F.try_divide(neg.cast("double") * F.col("pos_before") + neg * pos / 2, n1 * n0))
+    precision = F.sum(F.when(pos > 0, F.try_divide(pos, n1) * F.try_divide(tp, tp + fp)))
     return run.groupBy(*by).agg(
         F.when(usable, won).alias("roc_auc"), F.when(usable, precision).alias("pr_auc"))
 
