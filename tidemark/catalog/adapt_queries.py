@@ -258,21 +258,32 @@ def unknown_category_qa(spark, d):
     return rounded(E.unknown_category_qa(frame, ids, "unit_id", raw_sources(spark, d, ["grp"])))
 
 
-@query("kept_source_order", """SELECT * FROM (VALUES ('balance', 0), ('balance__missing__code_-9', 1), ('balance__missing__code_-6.0', 2), ('balance__missing__blank', 3), ('grp', 4), ('grp__missing__code_-1', 5)) AS t(source_column, source_order)""")
+MISSING_SQL = """missing AS (SELECT num."column", s."position", CASE WHEN coded THEN raw ELSE 'blank' END AS token,
+  CASE WHEN coded THEN try_cast(try_cast(raw AS DOUBLE) AS INT) ELSE 0 END AS rk, count(*) / max(n_rows)::DOUBLE AS prevalence
+  FROM num JOIN screened s ON s."column" = num."column" WHERE pool = 'train' AND status <> 'dropped' AND (coded OR blank) GROUP BY ALL)"""
+ORDER_SQL = f"""WITH {LONG_SQL}, {PROFILE_SQL}, {MISSING_SQL},
+ parts AS (SELECT "column" AS source_column, "position" AS p, 0 AS t, 0 AS rk FROM screened WHERE status <> 'dropped'
+  UNION ALL SELECT "column" || '__missing__' || CASE WHEN token = 'blank' THEN 'blank' ELSE 'code_' || token END, "position", 1, rk FROM missing
+   WHERE least(prevalence, 1 - prevalence) >= 0.01)"""
+
+
+@query("kept_source_order", f"{ORDER_SQL} SELECT source_column, (row_number() OVER (ORDER BY p, t, rk) - 1)::INT AS source_order FROM parts")
 def kept_source_order(spark, d):
     enc = E.encode_missing_indicator(views.raw_survey(spark, d), "unit_id", raw_sources(spark, d))
     return E.kept_source_order(enc.manifest())
 
 
-@query("cross_strategy_sources", "SELECT true AS same, 2::BIGINT AS n_sources")
+@query("cross_strategy_sources", f"WITH {LONG_SQL}, {PROFILE_SQL} SELECT true AS same, count(*)::BIGINT AS n_sources FROM screened WHERE status <> 'dropped'")
 def cross_strategy_sources(spark, d):
     frame, sources = views.raw_survey(spark, d), raw_sources(spark, d)
     return E.same_sources(E.encode_median_mode(frame, "unit_id", sources).manifest(),
                           E.encode_tree_ordinal(frame, "unit_id", sources).manifest())
 
 
-@query("feature_universe", """SELECT * FROM (VALUES ('balance', 0, 'continuous', 0, 'X_balance', NULL), ('grp', 1, 'onehot_group', 0, 'C_grp__0', '0'), ('grp', 1, 'onehot_group', 1, 'C_grp__1', '1'),
- ('grp', 1, 'onehot_group', 2, 'C_grp__2', '2'), ('grp', 1, 'onehot_group', 3, 'C_grp__3', '3'), ('grp', 1, 'onehot_group', 4, 'C_grp__7', '7')) AS t(source_column, source_order, unit_type, feature_order, feature_name, level_value)""")
+@query("feature_universe", f"""WITH {LONG_SQL}, {PROFILE_SQL}, kept AS (SELECT *, (row_number() OVER (ORDER BY "position") - 1)::INT AS source_order FROM screened WHERE status <> 'dropped')
+SELECT "column" AS source_column, source_order, 'continuous' AS unit_type, 0 AS feature_order, 'X_' || "column" AS feature_name, NULL AS level_value FROM kept WHERE status = 'numeric'
+ UNION ALL SELECT kept."column", source_order, 'onehot_group', (row_number() OVER (PARTITION BY kept."column" ORDER BY level) - 1)::INT,
+  'C_' || kept."column" || '__' || CAST(level AS INT), CAST(CAST(level AS INT) AS VARCHAR) FROM lev JOIN kept ON kept."column" = lev."column" """)
 def feature_universe(spark, d):
     enc = E.encode_median_mode(views.raw_survey(spark, d), "unit_id", raw_sources(spark, d))
     u = E.feature_universe(enc.manifest())
@@ -280,35 +291,39 @@ def feature_universe(spark, d):
         "source_column", "source_order", "unit_type", "f.feature_order", "f.feature_name", "f.level_value")
 
 
-# Training rows of December or of the third segment have no outcome, so those states are unseen.
+# For outcome `price`, training rows of December or of the third segment have no
+# outcome, so those states are unseen; outcome `raw` sees every state.
 ROLE = "CASE WHEN x_custkey < 500 THEN 'train' ELSE 'test' END"
 MASK_SQL = f"""{views.ARD_SQL}, base AS (SELECT *, {ROLE} AS role FROM ard),
- o AS (SELECT * REPLACE (CASE WHEN role = 'train' AND (o_month = 12 OR seg_2 = 1) THEN NULL ELSE y END AS y) FROM base)"""
+ o AS (SELECT 'price' AS outcome, * REPLACE (CASE WHEN role = 'train' AND (o_month = 12 OR seg_2 = 1) THEN NULL ELSE y END AS y) FROM base
+  UNION ALL SELECT 'raw' AS outcome, * FROM base)"""
 
 
 def masked_rows(spark, d):
     rows = I.assemble(views.ard(spark, d).drop("y_bin"), views.ARD_FEATURES)
     role = F.when(F.col("x")[1] < 500, "train").otherwise("test")
     gone = (role == "train") & (F.coalesce(F.col("x")[2] == 12, F.lit(False)) | F.coalesce(F.col("x")[5] == 1, F.lit(False)))
-    rows = rows.select(F.lit("price").alias("outcome"), role.alias("role"), "row_id",
-                       F.when(~gone, F.col("y")).alias("y"), "x")
+    outcomes = F.array(F.struct(F.lit("price").alias("outcome"), F.when(~gone, F.col("y")).alias("y")),
+                       F.struct(F.lit("raw").alias("outcome"), F.col("y").alias("y")))
+    rows = rows.select(role.alias("role"), "row_id", "x", F.explode(outcomes).alias("o")).select(
+        "o.outcome", "role", "row_id", "o.y", "x")
     return E.mask_unseen(rows, views.ARD_SOURCES)
 
 
-@query("mask_unseen_categories", f"""WITH {MASK_SQL} SELECT row_id, role,
- CASE WHEN role = 'test' AND y IS NOT NULL AND o_month = 12 THEN NULL ELSE o_month END AS o_month,
- CASE WHEN role = 'test' AND y IS NOT NULL AND seg_2 = 1 THEN NULL ELSE seg_0 END AS seg_0,
- CASE WHEN role = 'test' AND y IS NOT NULL AND seg_2 = 1 THEN NULL ELSE seg_2 END AS seg_2, pri_0 FROM o""")
+@query("mask_unseen_categories", f"""WITH {MASK_SQL}, m AS (SELECT *, outcome = 'price' AND role = 'test' AND y IS NOT NULL AS hit FROM o)
+SELECT outcome, row_id, role, CASE WHEN hit AND o_month = 12 THEN NULL ELSE o_month END AS o_month,
+ CASE WHEN hit AND seg_2 = 1 THEN NULL ELSE seg_0 END AS seg_0, CASE WHEN hit AND seg_2 = 1 THEN NULL ELSE seg_2 END AS seg_2, pri_0 FROM m""")
 def mask_unseen_categories(spark, d):
     x = F.col("x")
-    return masked_rows(spark, d)[0].select("row_id", "role", x[2].alias("o_month"), x[3].alias("seg_0"),
+    return masked_rows(spark, d)[0].select("outcome", "row_id", "role", x[2].alias("o_month"), x[3].alias("seg_0"),
                                            x[5].alias("seg_2"), x[6].alias("pri_0"))
 
 
-@query("mask_unseen_qa", f"""WITH {MASK_SQL}, t AS (SELECT * FROM o WHERE role = 'test' AND y IS NOT NULL),
- q AS (SELECT 'month' AS source_column, 'ordinal' AS unit_type, count_if(o_month = 12) AS u, count(o_month) AS c FROM t
-  UNION ALL SELECT 'segment', 'onehot_group', count_if(seg_2 = 1), count(seg_2) FROM t UNION ALL SELECT 'priority', 'onehot_group', 0, count(pri_0) FROM t)
-SELECT 'price' AS outcome, source_column, unit_type, u::BIGINT AS unknown_count, c::BIGINT AS denominator, {r('u / c')} AS unknown_rate, false AS exceeds FROM q""")
+@query("mask_unseen_qa", f"""WITH {MASK_SQL}, t AS (SELECT *, outcome = 'price' AS p FROM o WHERE role = 'test' AND y IS NOT NULL),
+ q AS (SELECT outcome, 'month' AS source_column, 'ordinal' AS unit_type, count_if(p AND o_month = 12) AS u, count(o_month) AS c FROM t GROUP BY outcome
+  UNION ALL SELECT outcome, 'segment', 'onehot_group', count_if(p AND seg_2 = 1), count(seg_2) FROM t GROUP BY outcome
+  UNION ALL SELECT outcome, 'priority', 'onehot_group', 0, count(pri_0) FROM t GROUP BY outcome)
+SELECT outcome, source_column, unit_type, u::BIGINT AS unknown_count, c::BIGINT AS denominator, {r('u / c')} AS unknown_rate, false AS exceeds FROM q""")
 def mask_unseen_qa(spark, d):
     return rounded(masked_rows(spark, d)[1])
 
@@ -378,3 +393,19 @@ def outcome_summary(spark, d):
         F.when(key % 5 != 0, F.col("c_acctbal")).alias("bal"), F.col("c_nationkey").alias("nat"))
     enc = E.encode_median_mode(views.raw_survey(spark, d), "unit_id", raw_sources(spark, d))
     return J.outcome_summary(o, enc.features, "unit_id", "pool", ["bal", "nat"], len(enc.features.columns) - 1)
+
+
+@query("adapt_pipeline", f"""WITH {RAW}, o AS (SELECT c_custkey AS unit_id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal END AS bal, CAST(c_nationkey AS DOUBLE) AS nat FROM customer),
+ f AS (SELECT unit_id, pool, {BAL} AS b, {GRP} AS g FROM raw_survey), j AS (SELECT 'bal' AS outcome, pool AS role, bal AS y, b, g FROM f JOIN o USING (unit_id) UNION ALL SELECT 'nat', pool, nat, b, g FROM f JOIN o USING (unit_id))
+SELECT outcome, role, count(*)::BIGINT AS n_rows, count(y)::BIGINT AS n_observed, {r('sum(b)', 2)} AS sum_balance, count(g)::BIGINT AS group_seen, {r('sum((g = 3)::INT)', 1)} AS sum_level_3 FROM j GROUP BY ALL""")
+def adapt_pipeline(spark, d):
+    """Raw answers to analysis-ready rows of two outcomes."""
+    from tidemark.plans.adapt import adapt
+    key = F.col("c_custkey")
+    outcomes = views.table(spark, d, "customer").select(
+        key.alias("unit_id"), F.when(key % 5 != 0, F.col("c_acctbal")).alias("bal"), F.col("c_nationkey").cast("double").alias("nat"))
+    result = adapt(views.raw_survey(spark, d), outcomes, "unit_id", "pool", views.RAW_COLUMNS, ["bal", "nat"])
+    x = F.col("x")
+    return rounded(result.rows.groupBy("outcome", "role").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("y").alias("n_observed"), F.sum(x[0]).alias("sum_balance"),
+        F.count(x[1]).alias("group_seen"), F.sum(x[4]).alias("sum_level_3")), 2)

@@ -103,7 +103,7 @@ def split_stratified(
                 .alias("_quota"))
     )
     cut = hash_cut(
-        rows.join(quota, label), ["seed", label, "_quota"], split_digest(row_id), row_id,
+        rows.join(F.broadcast(quota), label), ["seed", label, "_quota"], split_digest(row_id), row_id,
         F.col("_quota"),
     ).select("seed", label, "cut_hash", "cut_tie")
     return _with_role(rows, cut, ["seed", label], row_id)
@@ -111,8 +111,9 @@ def split_stratified(
 
 def _with_role(rows: DataFrame, cut: DataFrame, by: list[str], row_id: str) -> DataFrame:
     digest = split_digest(row_id)
+    # One row per seed of the caller's list, times the classes of one outcome.
     return (
-        rows.join(cut, by, "left")
+        rows.join(F.broadcast(cut), by, "left")
         .withColumn("role", F.when(before_cut(digest, row_id), "test").otherwise("train"))
         .drop("cut_hash", "cut_tie")
     )

@@ -21,8 +21,8 @@ _SPEC_DDL = (
     "array<struct<name:string,kind:string,start:int,width:int,drop:boolean,"
     "levels:array<double>,prior:array<double>>>"
 )
-# A per-cell table up to this many rows is broadcast; beyond it Spark joins by key.
-MAX_BROADCAST_CELLS = 50_000
+# A per-cell table up to this size is broadcast; beyond it Spark joins by key.
+MAX_BROADCAST_BYTES = 64 << 20
 # Many sources with one histogram each: a coarse one combines well before the shuffle.
 FILL_STEPS = 32
 
@@ -137,9 +137,13 @@ def pack_fills(fills: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def join_cells(rows: DataFrame, cells: DataFrame, by: Sequence[str], n_cells: int | None = None,
-               how: str = "inner") -> DataFrame:
-    """Attach one small row per cell. Cells are broadcast only below a known count."""
-    if n_cells is not None and n_cells <= MAX_BROADCAST_CELLS:
+               how: str = "inner", width: int = 8) -> DataFrame:
+    """Attach one row per cell, holding about ``width`` numbers.
+
+    The table is broadcast only where the design proves it small; otherwise it
+    is an ordinary join, whose skewed cells adaptive execution splits.
+    """
+    if n_cells is not None and n_cells * (width + 8) * 16 <= MAX_BROADCAST_BYTES:
         cells = F.broadcast(cells)
     return rows.join(cells, list(by), how)
 
@@ -168,7 +172,7 @@ def apply_fills(rows: DataFrame, packed: DataFrame, by: Sequence[str],
     """
     filled = F.flatten(F.transform(
         source_spec(sources), lambda s, i: _filled(F.col(x), s, i, passthrough)))
-    return join_cells(rows, packed, by, n_cells).withColumn(x, filled).drop("fills", "seen")
+    return join_cells(rows, packed, by, n_cells, width=2 * len(sources)).withColumn(x, filled).drop("fills", "seen")
 
 
 def k_unobserved(fills: DataFrame, selected: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -220,7 +224,7 @@ def constant_prediction(preds: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def standardize(filled: DataFrame, by: Sequence[str], x: str = "x",
-                n_cells: int | None = None) -> DataFrame:
+                n_cells: int | None = None, width: int = 1000) -> DataFrame:
     """Centre and scale every feature by its cell's mean and population deviation."""
     long = filled.select(*by, F.posexplode(x).alias("pos", "v"))
     stats = long.groupBy(*by, "pos").agg(
@@ -230,4 +234,4 @@ def standardize(filled: DataFrame, by: Sequence[str], x: str = "x",
         F.array_sort(F.collect_list(F.struct("pos", "m", F.when(F.col("varies"), F.col("s"))
                                              .otherwise(1.0).alias("s")))).alias("_z"))
     scaled = F.zip_with(x, "_z", lambda v, z: (v - z["m"]) / z["s"])
-    return join_cells(filled, packed, by, n_cells).withColumn(x, scaled).drop("_z")
+    return join_cells(filled, packed, by, n_cells, width=3 * width).withColumn(x, scaled).drop("_z")

@@ -214,8 +214,8 @@ def linear_value(x: Column, intercept: Column, coef: Column) -> Column:
 
 
 def predict_linear(rows: DataFrame, fits: DataFrame, by: Sequence[str], n_cells: int | None = None,
-                   keep: Sequence[str] = ("row_id", "y"), x: str = "x") -> DataFrame:
-    """Predictions of every fit of a cell on the cell's rows."""
+                   keep: Sequence[str] = ("row_id", "y"), x: str = "x", width: int = 1000) -> DataFrame:
+    """Predictions of every fit of a cell on the cell's rows; ``width`` bounds a cell's coefficients."""
     packed = fits.groupBy(*by).agg(F.collect_list(F.struct("k", "model", "intercept", "coef")).alias("_fits"))
-    return join_cells(rows, packed, by, n_cells).select(*by, *keep, x, F.explode("_fits").alias("_f")).select(
+    return join_cells(rows, packed, by, n_cells, width=width).select(*by, *keep, x, F.explode("_fits").alias("_f")).select(
         *by, "_f.k", "_f.model", *keep, linear_value(F.col(x), F.col("_f.intercept"), F.col("_f.coef")).alias("y_pred"))

@@ -148,7 +148,8 @@ def linear_sweep(sample: Sample, sources: Sequence[D.Source], k_grid: Sequence[i
     test = I.apply_fills(test_cells(sample), packed, BY, sources, n_cells=sample.n_cells)
     pairs = D.repeat_pairs(spark, pairs=[(s, d) for s in sample.seeds for d in sample.draws])
     fits = L.fit_linear(train, BY, sources, source_orders(pairs, sources), k_grid, models, y=y)
-    preds = L.predict_linear(test, fits, BY, sample.n_cells, ["row_id", y]).withColumnRenamed(y, "y_true")
+    preds = L.predict_linear(test, fits, BY, sample.n_cells, ["row_id", y],
+                             width=sum(len(x.features) for x in sources) * len(k_grid) * len(models)).withColumnRenamed(y, "y_true")
     means = sample.train.groupBy(*BY).agg(F.avg(y).alias("train_mean"))
     preds = I.join_cells(preds, means, BY, sample.n_cells)
     return LinearSweep(fits, preds, fills, sample)
