@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, sharding, url_filter
+from tidemark.llm import mixing, repetition, sharding, token_counts, url_filter
 from tidemark.llm.tables import table
 
+#: Place of the public vocabularies on every machine; a parameter of the operators.
+TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -43,6 +46,48 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER, 2048)
+
+
+def repetition_sql(limits: repetition.Limits) -> str:
+    """Words as rows; n-grams as texts of windows; what they cover by a running maximum."""
+    grams = []
+    for n in (limits.repeat_window, *limits.grams):
+        grams.append(f"""
+g{n} AS (SELECT doc_id, pos, chars, CASE WHEN pos <= n_words - {n} + 1 THEN
+    string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) END AS g FROM w),
+m{n} AS (SELECT doc_id, pos, chars, g IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g) > 1 AS shared,
+    g IS NOT NULL AND row_number() OVER (PARTITION BY doc_id, g ORDER BY pos) > 1 AS later FROM g{n}),
+c{n} AS (SELECT doc_id, chars, max(shared) OVER b AS shared, max(later) OVER b AS later FROM m{n}
+    WINDOW b AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)),
+t{n} AS (SELECT doc_id, sum(CASE WHEN shared THEN 1 ELSE 0 END)::BIGINT AS shared, sum(CASE WHEN later THEN chars ELSE 0 END)::BIGINT AS inside FROM c{n} GROUP BY 1)""")
+    shares = " OR ".join([f"100 * chars_in_lines > {limits.lines} * word_chars", *(f"100 * chars_in_{n}grams > {p} * word_chars" for n, p in limits.grams.items())])
+    return f"""
+WITH w0 AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos, length(unnest(ws)) AS chars, len(ws) AS n_words FROM w0),
+ln0 AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+ln1 AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM ln0),
+ln2 AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS later FROM ln1 WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+lines AS (SELECT doc_id, sum(later::INT)::BIGINT AS n, sum(CASE WHEN later THEN length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) ELSE 0 END)::BIGINT AS inside FROM ln2 GROUP BY 1),
+{",".join(grams)},
+d AS (
+  SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_words,
+    coalesce(length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')), 0)::BIGINT AS word_chars,
+    coalesce(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')), 0)::BIGINT AS n_symbols,
+    coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(t{limits.repeat_window}.shared, 0)::BIGINT AS n_repeat_words,
+    coalesce(lines.inside, 0)::BIGINT AS chars_in_lines, {", ".join(f"coalesce(t{n}.inside, 0)::BIGINT AS chars_in_{n}grams" for n in limits.grams)}
+  FROM documents LEFT JOIN lines USING (doc_id) {" ".join(f"LEFT JOIN t{n} USING (doc_id)" for n in (limits.repeat_window, *limits.grams))}),
+b AS (SELECT *, n_words < {limits.min_words} OR 100 * n_repeat_words > {limits.repeat_words} * n_words AS base_failed FROM d)
+SELECT *, NOT base_failed AND NOT ({shares}) AS kept FROM b"""
+
+
+@query("op6_repetition", repetition_sql(repetition.Limits()))
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_rules(table(spark, sf_dir, "documents"))
+
+
 URL_RULES = [
     url_filter.rule("allow", "org/"),
     url_filter.rule("block", "example.org/es/"),
