@@ -41,15 +41,15 @@ def byte_chars() -> dict[str, int]:
 
 
 @lru_cache(2)
-def read_model(path: str) -> tuple[dict, list, list[str]]:
-    """Vocabulary, merges and special strings. Raises for another kind of tokenizer."""
+def read_model(path: str) -> tuple[dict, list, dict[str, int]]:
+    """Vocabulary, merges and special strings with ids. Raises for another kind of tokenizer."""
     with open(path, encoding="utf-8") as f:
         j = json.load(f)
     steps = [n["type"] for n in j["normalizer"]["normalizers"]]
     pattern = j["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
     if steps != NORMALIZERS or pattern != PATTERN or j["model"]["end_of_word_suffix"] != WORD_END:
         raise ValueError(f"{path} is not a lower-case word BPE with word ends")
-    return j["model"]["vocab"], j["model"]["merges"], [t["content"] for t in j["added_tokens"]]
+    return j["model"]["vocab"], j["model"]["merges"], {t["content"]: t["id"] for t in j["added_tokens"]}
 
 
 def normal(text: str) -> str:

@@ -39,7 +39,8 @@ class Merges:
     """Encodings of short byte strings by merge rank, and which tokens may be neighbours."""
 
     def __init__(self, path: str):
-        vocab, merges, self.specials = read_model(path)
+        vocab, merges, special_id = read_model(path)
+        self.specials = list(special_id)
         of = byte_chars()
 
         def symbols(token: str) -> tuple[int, ...]:
@@ -48,6 +49,7 @@ class Merges:
             return tuple(of[c] for c in body) + (END,) * word_end
 
         self.text = {i: symbols(t) for t, i in vocab.items()}
+        self.special_ids = [special_id[t] for t in self.specials]
         # With word ends, the last byte and the end are one unit from the beginning.
         self.unit = {s: i for i, s in self.text.items() if len(s) == 1 or len(s) == 2 and s[1] == END}
         self.merge = {}
@@ -95,13 +97,16 @@ class Transducer:
                     self.token.append(-1)
                 node = self.child[node][x]
             self.token[node] = i
+        self.length = np.zeros(max(m.text) + 1, np.int64)  # in bytes
+        for i, t in m.text.items():
+            self.length[i] = len(t) - (t[-1] == END)
         self.clear()
 
     def clear(self) -> None:
         self.column = np.full(512, -1, np.int64)
         self.symbol = [-1]
         start = ((0, -1, 0),)
-        self.states, self.known = [start], {start: 0}
+        self.states, self.known, self.last = [start], {start: 0}, [-1]
         self.table = np.full((1024, 64), -1, np.int32)
         self.table[:, 0] = (np.arange(1024) << 8) | _ZERO  # column 0 stands still
 
@@ -131,11 +136,15 @@ class Transducer:
                 going.append((node, before, fewer))
         if weight is None:
             raise ValueError("the vocabulary does not cover every byte")
-        new = ((0, -1, 0),) if ends else tuple((n, b, f - weight) for n, b, f in going) + ((0, last, 0),)
+        if ends:  # leads to the start state; the table keeps the word's last token in its place
+            self.table[state, column] = (last << 8) | (weight + _ZERO)
+            return
+        new = tuple((n, b, f - weight) for n, b, f in going) + ((0, last, 0),)
         to = self.known.get(new)
         if to is None:
             to = self.known[new] = len(self.states)
             self.states.append(new)
+            self.last.append(last)
             if to >= len(self.table):
                 grown = np.full((len(self.table) + max(1024, len(self.table) // 4), self.table.shape[1]), -1, np.int32)
                 grown[: len(self.table)] = self.table
@@ -154,43 +163,78 @@ class Transducer:
             out = self.table.ravel()[state * self.table.shape[1] + columns]
         return out
 
-    def weights(self, raw: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Weight of every byte; the sum over a pre-token is its number of tokens."""
+    def run(self, raw: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight of every byte, and the state after it or, at the end of a word, its last token.
+
+        The sum of the weights along a pre-token is its number of tokens.
+        """
         if len(self.states) > self.max_states:
             self.clear()
         n = len(raw)
         lanes = max(1, -(-n // CHUNK))
-        columns = np.zeros(lanes * CHUNK, np.int64)
+        columns, going = np.zeros(lanes * CHUNK, np.int64), np.ones(lanes * CHUNK, np.int64)
         columns[:n] = self.columns(raw + np.where(last, np.int64(256), np.int64(0)))
+        going[:n] = ~last
         grid = np.ascontiguousarray(columns.reshape(lanes, CHUNK).T)
+        going = np.ascontiguousarray(going.reshape(lanes, CHUNK).T)
         weight, path = np.empty((CHUNK, lanes), np.int8), np.empty((CHUNK, lanes), np.int32)
         state = np.zeros(lanes, np.int64)
         for t in range(CHUNK):
             packed = self.step(state, grid[t])
-            state = (packed >> 8).astype(np.int64)
-            path[t] = state
+            path[t] = packed >> 8
             weight[t] = (packed & 255) - _ZERO
+            state = path[t] * going[t]
         arrives = np.zeros(lanes, np.int64)  # what every chunk's run began with
         while True:
-            now = np.concatenate([[0], path[-1, :-1]]).astype(np.int64)
+            now = np.concatenate([[0], path[-1, :-1] * going[-1, :-1]])
             lane = np.flatnonzero(now != arrives)
             if not len(lane):
-                return weight.T.ravel()[:n]
+                return weight.T.ravel()[:n], path.T.ravel()[:n]
             arrives = now
             state = now[lane]
             for t in range(CHUNK):
                 packed = self.step(state, grid[t, lane])
-                state = (packed >> 8).astype(np.int64)
+                was = path[t, lane] * going[t, lane]
+                path[t, lane] = packed >> 8
                 weight[t, lane] = (packed & 255) - _ZERO
-                apart = path[t, lane] != state
-                path[t, lane] = state
+                state = path[t, lane] * going[t, lane]
+                apart = was != state
                 lane, state = lane[apart], state[apart]
                 if not len(lane):
                     break
 
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the offsets of each text's.
+
+        The tokens of a word are read off backwards: its last token ends the word,
+        and the state before a token names the one that precedes it.
+        """
+        cut = Cut(texts, self.merges.specials)
+        weight, path = self.run(cut.raw, cut.last)
+        before = np.zeros(len(weight) + 1, np.int64)
+        np.cumsum(weight, out=before[1:])
+        at = np.flatnonzero(cut.last)
+        out = before[at + 1] - 1
+        left = np.diff(before[np.concatenate([[0], at + 1])]) if len(at) else out
+        ids = np.empty(before[-1], np.int64)
+        last_of = np.asarray(self.last, np.int64)
+        token = path[at].astype(np.int64)
+        while len(at):
+            ids[out] = token
+            at, out, left = at - self.length[token], out - 1, left - 1
+            more = left > 0
+            at, out, left = at[more], out[more], left[more]
+            token = last_of[path[at]]
+        bounds = before[cut.bounds]
+        if any(cut.special):
+            where = [(before[p], self.merges.special_ids[k]) for s in cut.special for p, k in s]
+            ids = np.insert(ids, [w for w, _ in where], [k for _, k in where])
+            bounds = bounds + np.concatenate([[0], np.cumsum([len(s) for s in cut.special])])
+        return ids, bounds
+
     def count(self, texts: list[str]) -> np.ndarray:
         cut = Cut(texts, self.merges.specials)
-        return totals(self.weights(cut.raw, cut.last), cut.bounds) + np.array([len(s) for s in cut.special], np.int64)
+        return totals(self.run(cut.raw, cut.last)[0], cut.bounds) + np.array([len(s) for s in cut.special], np.int64)
 
 
 @lru_cache(1)
