@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, repetition, sharding, token_counts, url_filter
+from tidemark.llm import mixing, packing, repetition, sharding, token_counts, url_filter
 from tidemark.llm.tables import table
 
 #: Place of the public vocabularies on every machine; a parameter of the operators.
@@ -88,6 +88,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+@query("op7_pack_sequences")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 URL_RULES = [
     url_filter.rule("allow", "org/"),
     url_filter.rule("block", "example.org/es/"),
