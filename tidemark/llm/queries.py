@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, packing, repetition, sharding, token_counts, url_filter
+from tidemark.llm import mixing, packing, repetition, sharding, substring, token_counts, url_filter
 from tidemark.llm.tables import table
 
 #: Place of the public vocabularies on every machine; a parameter of the operators.
@@ -51,6 +51,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER, 2048)
 
 
+@query("op5_substring_dedup", """
+WITH w0 AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos, len(ws) AS n FROM w0),
+g AS (SELECT doc_id, pos, word, CASE WHEN pos <= n - 49 THEN
+    string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) END AS g FROM w),
+m AS (SELECT doc_id, pos, word, g IS NOT NULL AND min(doc_id) OVER (PARTITION BY g) < doc_id AS hit FROM g),
+c AS (SELECT doc_id, pos, word, max(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM m),
+t AS (SELECT doc_id, count(*) AS n_words, sum(gone::INT) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '') AS kept FROM c GROUP BY 1)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN t USING (doc_id)""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def repetition_sql(limits: repetition.Limits) -> str:
     """Words as rows; n-grams as texts of windows; what they cover by a running maximum."""
     grams = []
