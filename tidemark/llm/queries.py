@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, near_dup, packing, repetition, sharding, substring, token_counts, url_filter
+from tidemark.llm import mixing, near_dup, packing, quality, repetition, sharding, substring, token_counts, url_filter
 from tidemark.llm.tables import table
 
 #: Place of the public vocabularies on every machine; a parameter of the operators.
@@ -112,6 +112,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows")
 
 
+@query("op3_quality_scores")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 URL_RULES = [
     url_filter.rule("allow", "org/"),
     url_filter.rule("block", "example.org/es/"),
