@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, near_dup, packing, quality, repetition, sharding, substring, token_counts, url_filter
+from tidemark.llm import ann, mixing, near_dup, packing, quality, repetition, sharding, substring, token_counts, url_filter
 from tidemark.llm.tables import table
 
 #: Place of the public vocabularies on every machine; a parameter of the operators.
@@ -65,6 +65,20 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+@query("op4_nearest_vectors", """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= 20""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search_table(table(spark, sf_dir, "embeddings"))
+
+
 def repetition_sql(limits: repetition.Limits) -> str:
     """Words as rows; n-grams as texts of windows; what they cover by a running maximum."""
     grams = []
