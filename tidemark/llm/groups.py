@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import stored
+from tidemark.llm.tables import discard, stored
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -46,6 +46,9 @@ def components(links: DataFrame) -> DataFrame:
         hooked = now.join(seen, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         jump = now.select(F.col("node").alias("root"), F.col("root").alias("next"))
         new = stored(hooked.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("next", "root")).alias("root")), "roots")
-        if new.where("root <> was").isEmpty():
-            return new.select("node", "root")
+        ended = new.where("root <> was").isEmpty()
+        discard(now)
         now = new.select("node", "root")
+        if ended:
+            discard(both)
+            return now

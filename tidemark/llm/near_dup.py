@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import probminhash as M
 from tidemark.llm.groups import components, runs
 from tidemark.llm.sieve import sieve
-from tidemark.llm.tables import stored
+from tidemark.llm.tables import discard, stored
 from tidemark.llm.text import Words, slices
 
 SHINGLE = 5
@@ -66,7 +66,9 @@ def stars(signs: DataFrame) -> DataFrame:
     size = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
     weight = stored(members.join(size, "band").groupBy("k").agg(F.sum("n").alias("weight")), "near-weights")
     pivots = members.join(weight, "k").groupBy("band").agg(F.max(F.struct("weight", "k")).alias("p")).select("band", F.col("p.k").alias("p"))
-    return stored(members.join(pivots, "band").where("k <> p").select("k", "p").distinct(), "near-stars")
+    found = stored(members.join(pivots, "band").where("k <> p").select("k", "p").distinct(), "near-stars")
+    discard(shared, members, weight)
+    return found
 
 
 def estimated(pairs: DataFrame, signs: DataFrame) -> DataFrame:
@@ -149,12 +151,12 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR
     Other columns are not read.
     """
     signs = signed(docs, shingle, n_bands, rows)
-    star = stars(signs)
-    inside = stored(star.select("k").unionByName(star.select(F.col("p").alias("k"))).distinct(), "near-inside")
+    pairs = stars(signs)
+    inside = stored(pairs.select("k").unionByName(pairs.select(F.col("p").alias("k"))).distinct(), "near-inside")
     texts = _keyed(docs).where(sieve(inside, "k")).select("k", "text").join(inside, "k", "left_semi").dropDuplicates(["k"])
     texts = stored(texts, "near-texts")
     own = signs.select("k", "registers").where(sieve(inside, "k"))
-    est = stored(estimated(star, own), "near-estimates")
+    est = stored(estimated(pairs, own), "near-estimates")
     first = stored(verified(est.where(F.col("est") >= least - MARGIN).select("k", "p"), texts, shingle, least), "near-links")
     star = est.join(first.withColumn("hit", F.lit(True)), ["k", "p"], "left").withColumn("linked", F.coalesce("hit", F.lit(False))).drop("hit")
     more = unresolved(star, least)
@@ -163,6 +165,7 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR
     roots = components(links)
     named = signs.select("doc_id", "k").join(roots.withColumnRenamed("node", "k"), "k", "left").select("doc_id", "k", F.coalesce("root", "k").alias("root"))
     named = stored(named, "near-roots")
+    discard(signs, pairs, inside, texts, est, first, second, roots)
     classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_rows"))
     out = named.join(classes, "root").select("doc_id", "k", "root", "class_id", "class_rows")
     rest = _keyed(docs).where(~_has_word(F.col("text"))).select("doc_id", "k", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_rows"))

@@ -168,10 +168,13 @@ def quality_report(docs: DataFrame, labels: DataFrame, s: Settings = Settings(),
     return scored.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold, with their columns."""
+def keep_quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), threshold: float = 0.3, training: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, with their columns.
+
+    The labelled texts come from ``training``, by default ``docs`` itself.
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]  # any column may be called like ours
     plain = docs.toDF(*names)
     text = names[docs.columns.index("text")]
-    scored = score_quality(plain.withColumnRenamed(text, "text"), fit(docs, labels, s), s)
+    scored = score_quality(plain.withColumnRenamed(text, "text"), fit(docs if training is None else training, labels, s), s)
     return scored.where(F.col("_score") >= threshold).drop("_score").toDF(*docs.columns)

@@ -42,3 +42,13 @@ def hash60(col: Column) -> Column:
 def null_safe(col: Column) -> Column:
     """Text that tells NULL from every value, for keys of joins and groups."""
     return F.coalesce(F.concat(F.lit("="), col.cast("string")), F.lit("-"))
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once nothing reads them any more."""
+    for t in tables:
+        folders = {f.rsplit("/", 1)[0] for f in t.inputFiles()}
+        spark = t.sparkSession
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
