@@ -118,18 +118,19 @@ def missingness_stats(spark, d):
 
 
 HASH_SQL = """SELECT count(*)::BIGINT AS n_rows, sum(('0x' || substr(h, 1, 7))::BIGINT)::BIGINT AS digest_a, sum(('0x' || substr(h, 8, 7))::BIGINT)::BIGINT AS digest_b
- FROM (SELECT md5(concat_ws('|', o_orderkey, o_custkey, o_orderstatus, o_orderpriority)) AS h FROM orders)"""
-HASHED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+ FROM (SELECT md5(""" + " || ".join(
+    f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")) + """) AS h FROM orders)"""
 
 
 @query("content_hash", HASH_SQL)
 def content_hash(spark, d):
-    return T.content_identity(views.table(spark, d, "orders"), HASHED)
+    return T.content_identity(views.table(spark, d, "orders"))
 
 
-@query("run_metadata", f"SELECT 'median_mode' AS strategy, n_rows, 4 AS n_columns, md5(concat_ws('|', n_rows, digest_a, digest_b)) AS identity FROM ({HASH_SQL})")
+@query("run_metadata", f"SELECT 'median_mode' AS strategy, n_rows, 6 AS n_columns, md5(concat_ws('|', n_rows, digest_a, digest_b)) AS identity FROM ({HASH_SQL})")
 def run_metadata(spark, d):
-    return T.run_metadata(views.table(spark, d, "orders"), HASHED, "median_mode")
+    return T.run_metadata(views.table(spark, d, "orders"), "median_mode")
 
 
 SPEC = Y.PanelSpec()

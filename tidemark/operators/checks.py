@@ -14,7 +14,7 @@ from tidemark.operators.design import Source
 
 VIOLATION_DDL = "check_id string, subject string, example string, n bigint"
 # Cross-validation floors of the models (fixed values).
-CV_FLOORS = {"ridge": 2, "lasso": 2, "neural_net": 2, "lightgbm": 5, "xgboost": 5, "super_learner": 5}
+CV_FLOORS = {"ridge": 2, "lasso": 2, "neural_net": 2, "lightgbm": 5, "super_learner": 5}
 
 
 class ContractError(ValueError):
@@ -160,6 +160,21 @@ def check_coverage(train: DataFrame, test: DataFrame, subject: str, state: str,
     return _violations(per, check)
 
 
+def _ordinal_faults(manifest: DataFrame) -> list[Column]:
+    """Declared levels that repeat or are no finite numbers, and priors outside them."""
+    if not {"ordinal_levels", "source_prior"} <= set(manifest.columns):
+        return []
+    levels = F.from_json(F.col("ordinal_levels").cast("string"), "array<double>")
+    ordinal = F.col("unit_type") == "ordinal"
+    unfit = F.coalesce(F.size(levels) < 1, F.lit(True)) | F.coalesce(
+        (F.size(F.array_distinct(levels)) != F.size(levels))
+        | F.exists(levels, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(True))
+    outside = F.col("source_prior").isNotNull() & ~F.coalesce(
+        F.array_contains(levels, F.col("source_prior").cast("double")), F.lit(False))
+    return [F.bool_or(ordinal & unfit).alias("ordinal_levels_unfit"),
+            F.bool_or(ordinal & outside).alias("prior_not_a_level")]
+
+
 def check_manifest(manifest: DataFrame) -> DataFrame:
     """Structural faults of a feature manifest, per source."""
     one = F.count(F.lit(1))
@@ -175,6 +190,7 @@ def check_manifest(manifest: DataFrame) -> DataFrame:
         (F.bool_or(group & ~F.col("drop_first")) & (refs != 1)).alias("reference_count"),
         (F.bool_or(group) & (F.count_distinct("level_value") != one)).alias("level_repeated"),
         F.bool_or(F.col("is_reference") & (F.col("reference_level") != F.col("level_value"))).alias("reference_mismatch"),
+        *_ordinal_faults(manifest),
         F.min("source_order").alias("_order"))
     faults = [c for c in per.columns if c not in ("source_column", "_order")]
     entries = F.array(*[F.struct(F.lit(c).alias("fault"), F.coalesce(F.col(c), F.lit(False)).alias("hit")) for c in faults])
@@ -227,21 +243,34 @@ def check_checkpoint_rows(rows: DataFrame) -> DataFrame:
 
 
 def flatten_paths(df: DataFrame, key: str, document: str) -> DataFrame:
-    """Leaf values of a two-level JSON document as ``(key, path, value)`` rows."""
-    top = df.select(key, F.explode(F.from_json(document, "map<string,string>")).alias("p", "v"))
-    inner = F.from_json("v", "map<string,string>")
-    nested = F.when(F.startswith("v", F.lit("{")), F.transform(
-        F.map_entries(inner), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v"))))
-    leaf = F.array(F.struct(F.lit(None).cast("string").alias("k"), F.col("v").alias("v")))
-    return top.select(key, "p", F.explode(F.coalesce(nested, leaf)).alias("e")).select(
-        key, F.concat_ws(".", "p", "e.k").alias("path"), F.col("e.v").alias("value"))
+    """Leaf values of a JSON document as ``(key, path, value)`` rows, at any depth.
+
+    Objects are opened level by level as long as one is left; an empty object
+    and an array are leaves.
+    """
+    def opened(rows: DataFrame) -> DataFrame:
+        return rows.select(key, "path", F.explode(F.from_json("value", "map<string,string>")).alias("k", "value")).select(
+            key, F.concat_ws(".", "path", "k").alias("path"), "value")
+
+    def is_object() -> Column:
+        return F.coalesce(F.trim("value").startswith("{") & ~F.col("value").rlike(r"^\s*\{\s*\}\s*$"), F.lit(False))
+
+    rows = opened(df.select(key, F.lit(None).cast("string").alias("path"), F.col(document).alias("value")))
+    leaves = rows.where(~is_object())
+    while not (deeper := rows.where(is_object())).isEmpty():
+        rows = opened(deeper)
+        leaves = leaves.unionByName(rows.where(~is_object()))
+    return leaves
 
 
 def contract_diff(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """First path, in name order, at which two documents of a key differ."""
-    both = left.withColumnRenamed("value", "left_value").join(
-        right.withColumnRenamed("value", "right_value"), [key, "path"], "full_outer")
-    differs = both.where(~F.col("left_value").eqNullSafe(F.col("right_value")))
+    """First path, in name order, at which two documents of a key differ.
+
+    A path that one side lacks differs from one whose value is NULL.
+    """
+    both = left.withColumnRenamed("value", "left_value").withColumn("_l", F.lit(True)).join(
+        right.withColumnRenamed("value", "right_value").withColumn("_r", F.lit(True)), [key, "path"], "full_outer")
+    differs = both.where(~F.col("left_value").eqNullSafe(F.col("right_value")) | F.col("_l").isNull() | F.col("_r").isNull())
     first = F.min(F.struct("path", "left_value", "right_value")).alias("f")
     return differs.groupBy(key).agg(first, F.count(F.lit(1)).alias("n_paths")).select(
         key, "f.path", "f.left_value", "f.right_value", "n_paths")

@@ -35,13 +35,8 @@ class Encoded:
         return manifest_frame(self.features.sparkSession, self.sources, self.strategy)
 
 
-def token_of(level: float) -> str:
-    return str(int(level)) if level == int(level) else str(level).replace(".", "_").replace("-", "_").strip("_")
-
-
 def _level_name(source: RawSource, level: float) -> str:
-    label = source.labels.get(level, "")
-    return f"C_{source.safe_name}__{token_of(level)}" + (f"__{label}" if label else "")
+    return f"C_{source.safe_name}__{source.suffixes[level]}"
 
 
 def states(c: Column, levels: Sequence[float]) -> dict[str, Column]:
@@ -68,8 +63,8 @@ def _onehot(source: RawSource) -> tuple[Source, list[Column]]:
     cols = [F.when(s["known"], (s["number"] == v).cast("double")).alias(n)
             for v, n in zip(source.levels, names)]
     return (Source(source.column, "onehot_group", names,
-                   level_values=[token_of(v) for v in source.levels],
-                   reference_level=token_of(source.levels[0]), reference_feature=names[0]), cols)
+                   level_values=[source.tokens[v] for v in source.levels],
+                   reference_level=source.tokens[source.levels[0]], reference_feature=names[0]), cols)
 
 
 def _indicators(source: RawSource) -> list[tuple[Source, list[Column]]]:

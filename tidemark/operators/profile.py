@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as X
@@ -33,7 +33,9 @@ class RawSource:
     safe_name: str
     status: str
     levels: list[float] = field(default_factory=list)
-    labels: dict[float, str] = field(default_factory=dict)
+    # Name part of each level: its token, or token and label.
+    tokens: dict[float, str] = field(default_factory=dict)
+    suffixes: dict[float, str] = field(default_factory=dict)
     # (token, keep): coded answers in numeric order, then "blank".
     missing: list[tuple[str, bool]] = field(default_factory=list)
 
@@ -155,26 +157,33 @@ def collect_sources(pool: DataFrame, columns: Sequence[str],
     missing: dict[str, list[tuple[int, str, bool]]] = {}
     for r in missing_code_vocabulary(long, screened, config).collect():
         missing.setdefault(r["column"], []).append((r["rank"], r["token"], r["keep"]))
-    seen: set[str] = set()
+    safe = F.array(*[X.safe_identifier(F.lit(c)) for c in columns])
+    named = dict(zip(columns, pool.sparkSession.range(1).select(X.unique_names(safe)).first()[0]))
+    tokens, suffixes = level_names(pool.sparkSession, levels, labels)
     out = []
     for column in columns:
-        name = unique_safe_name(column, seen)
         status = info[column]["status"] if column in info else "dropped"
         own = sorted(levels.get(column, []))
         if status == "dropped" or (status == "categorical" and not any(k for _, k in own)):
             continue
         out.append(RawSource(
-            column, name, status, [v for v, _ in own], labels.get(column, {}),
+            column, named[column], status, [v for v, _ in own], tokens.get(column, {}), suffixes.get(column, {}),
             [(t, k) for _, t, k in sorted(missing.get(column, []))]))
     return out
 
 
-def unique_safe_name(column: str, seen: set[str]) -> str:
-    kept = "".join(ch if ch.isascii() and (ch.isalnum() or ch == "_") else " " for ch in column)
-    base = "_".join(kept.split()).strip("_") or "value"
-    base = f"v_{base}" if base[0].isdigit() else base
-    name, i = base, 2
-    while name in seen:
-        name, i = f"{base}_{i}", i + 1
-    seen.add(name)
-    return name
+
+def level_names(spark: SparkSession, levels: dict[str, list[tuple[float, bool]]], labels: dict[str, dict[float, str]]
+                ) -> tuple[dict[str, dict[float, str]], dict[str, dict[float, str]]]:
+    """Token and feature suffix of every level, by column; one row per level."""
+    rows = [(c, v, labels.get(c, {}).get(v)) for c, own in levels.items() for v, _ in own]
+    tokens: dict[str, dict[float, str]] = {}
+    suffixes: dict[str, dict[float, str]] = {}
+    if rows:
+        token = X.level_token(F.col("level"))
+        label = F.when(F.col("label").isNotNull(), X.safe_identifier(F.col("label")))
+        for r in spark.createDataFrame(rows, "column string, level double, label string").select(
+                "column", "level", token.alias("token"), X.feature_suffix(token, label).alias("suffix")).collect():
+            tokens.setdefault(r["column"], {})[r["level"]] = r["token"]
+            suffixes.setdefault(r["column"], {})[r["level"]] = r["suffix"]
+    return tokens, suffixes

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as X
@@ -23,6 +23,8 @@ TIMING_COLUMNS = [
 FAILED_ABS, FAILED_RATIO = 50, 0.05
 STACK_FITS_PER_CELL = 24
 COMPACT_AT = 50
+# Positions of one slice when neighbouring rows are compared.
+ORDER_SLICE = 65536
 
 
 def status_or_ok(c: Column) -> Column:
@@ -72,16 +74,20 @@ def ordered(rows: DataFrame) -> DataFrame:
 
 
 def order_violations(rows: DataFrame, position: str, keys: Sequence[str] = RESULT_KEYS) -> DataFrame:
-    """Neighbouring rows that repeat a key or are out of order.
+    """Rows that repeat the key of the row before them or are out of order.
 
-    Neighbours meet by an equi-join on their position, not in a window over
-    the whole table.
+    Positions may have gaps. They are cut into slices of a bounded number of
+    values; neighbours meet inside a slice, and the first row of each slice meets
+    the last of the nearest one before it.
     """
     key = F.struct(*keys)
-    here = rows.select(F.col(position).alias("pos"), key.alias("here"))
-    before = rows.select((F.col(position) + 1).alias("pos"), key.alias("before"))
+    placed = rows.select(F.col(position).alias("pos"), key.alias("here"), F.floor(F.col(position) / ORDER_SLICE).alias("_s"))
+    inside = placed.withColumn("before", F.lag("here").over(Window.partitionBy("_s").orderBy("pos")))
+    edges = placed.groupBy("_s").agg(F.max_by("here", "pos").alias("last"))
+    edges = edges.select("_s", F.lag("last").over(Window.orderBy("_s")).alias("_last"))  # one row per slice
+    inside = inside.join(edges, "_s").withColumn("before", F.coalesce("before", "_last"))
     kind = F.when(F.col("here") == F.col("before"), "duplicate").when(F.col("here") < F.col("before"), "unordered")
-    pairs = here.join(before, "pos").select("pos", kind.alias("kind")).where("kind is not null")
+    pairs = inside.select("pos", kind.alias("kind")).where("kind is not null")
     return pairs.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
 
 
@@ -179,8 +185,12 @@ def finalize_model(rows: DataFrame, expected: DataFrame, by: Sequence[str] = ("p
         F.count_if(F.col("kind") == "missing").alias("missing"),
         F.count_if(F.col("kind") == "extra").alias("extra"),
         F.count_if(F.col("kind") == "duplicate").alias("duplicate"))
-    policy = failure_policy(rows, by)
-    out = policy.join(faults, by, "left").na.fill(0, ["missing", "extra", "duplicate"])
+    # A model without a single row is in the design all the same, and empty.
+    wanted = expected.select(*by).unionByName(rows.select(*by)).distinct()
+    out = wanted.join(failure_policy(rows, by), by, "left").join(faults, by, "left").na.fill(
+        0, ["ok", "skipped", "failed", "denominator", "missing", "extra", "duplicate"]).na.fill(
+        "empty_denominator", ["violation"]).na.fill(False, ["passed"])
+    out = out.withColumn("violation", F.when(~F.col("passed"), F.col("violation")))
     whole = (F.col("missing") + F.col("extra") + F.col("duplicate")) == 0
     return out.withColumn("publishable", whole & F.col("passed"))
 
@@ -278,7 +288,7 @@ def skip_reason(n_train: Column, n_selected: Column, n_unobserved: Column, model
                 min_class: Column, n_classes: Column, task: str) -> Column:
     """Why a cell is skipped before fitting, first reason wins; NULL to fit it."""
     floor = (F.when(model.isin("ridge", "lasso", "neural_net"), 2)
-             .when(model.isin("lightgbm", "xgboost", "super_learner"), 5).otherwise(1))
+             .when(model.isin("lightgbm", "super_learner"), 5).otherwise(1))
     unseen = F.when(n_unobserved >= n_selected, "all_sources_unobserved")
     if task == "regression":
         return F.coalesce(unseen, F.when(n_train < floor, "below_cv_floor"))

@@ -48,6 +48,8 @@ def adapt(raw: DataFrame, outcomes: DataFrame, key: str, pool: str, columns: Seq
     """Profile on the training pool, encode all rows, join outcomes, mask unseen states.
 
     ``raw`` has ``pool`` 'train' or 'test'; test rows never shape the encoding.
+    Raises when a key repeats or has no partner, when the manifest is at fault, or
+    when a column's unknown answers pass their ceiling.
     """
     train = raw.where(F.col(pool) == "train")
     test_ids = raw.where(F.col(pool) == "test").select(key)
@@ -60,7 +62,9 @@ def adapt(raw: DataFrame, outcomes: DataFrame, key: str, pool: str, columns: Seq
     names = feature_names(encoded.sources)
     features = assemble(encoded.features, names)
     answers = outcomes.join(raw.select(key, pool), key)
-    wide = J.join_one_to_one(answers, features, key).where("_matched")
+    faults = J.one_to_one_violations(answers, features, key)
+    V.assert_valid(faults.select(F.lit("one_to_one").alias("check_id"), F.col("kind").alias("subject"), "example", "n"))
+    wide = J.join_one_to_one(answers, features, key)
     long = wide.select(
         F.explode(F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).cast("double").alias("y"))
                             for o in outcome_names])).alias("o"),
@@ -69,4 +73,6 @@ def adapt(raw: DataFrame, outcomes: DataFrame, key: str, pool: str, columns: Seq
     summary = J.outcome_summary(answers, encoded.features, key, pool, outcome_names, len(names))
     if unknown is None:
         unknown = coverage.limit(0).drop("outcome", "unit_type")
-    return Adapted(masked, encoded.sources, encoded.manifest(), unknown, coverage, summary)
+    found = Adapted(masked, encoded.sources, encoded.manifest(), unknown, coverage, summary)
+    V.assert_valid(found.violations())
+    return found

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 _FALLBACK: dict[str, str] = {}
 
@@ -30,12 +30,15 @@ def local_session(cpus: str | int = "*", app: str = "tidemark") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's checkpoint directory.
 
-    A machine-local folder is made only where the setting is absent, which is
-    the case in tests on one machine.
+    Without that setting a folder of this machine serves a local session; on a
+    cluster its files would be spread over the executors' own disks, so it raises.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -46,10 +49,3 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path for one run, below the shared folder."""
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
-
-def materialize_once(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, cutting its lineage."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

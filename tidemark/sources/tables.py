@@ -111,16 +111,25 @@ def missingness_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "e.column", "e.n_missing", (F.col("e.n_missing") / F.col("_n")).alias("missing_fraction"))
 
 
-def content_identity(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Order-free digest: row count and sums of two slices of each row's md5."""
-    h = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]))
+def content_identity(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Order-free digest of all (or the named) columns: row count and sums of two slices of each row's md5.
+
+    Each value is written with its length in bytes, NULL as ``-``, so that no two
+    different rows give one text.
+    """
+    def part_of(name: str) -> Column:
+        text = F.col(name).cast("string")
+        return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    h = F.md5(F.concat(*[part_of(c) for c in (columns or df.columns)]))
     part = [F.conv(F.substring(h, 1 + 7 * i, 7), 16, 10).cast("bigint") for i in range(2)]
     return df.select(*[p.alias(f"_p{i}") for i, p in enumerate(part)]).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("_p0").alias("digest_a"), F.sum("_p1").alias("digest_b"))
 
 
-def run_metadata(df: DataFrame, columns: Sequence[str], strategy: str) -> DataFrame:
+def run_metadata(df: DataFrame, strategy: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Identity and size of one input."""
+    columns = columns or df.columns
     return content_identity(df, columns).select(
         F.lit(strategy).alias("strategy"), "n_rows", F.lit(len(columns)).alias("n_columns"),
         F.md5(F.concat_ws("|", "n_rows", "digest_a", "digest_b")).alias("identity"))
