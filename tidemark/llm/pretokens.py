@@ -40,7 +40,6 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-@lru_cache(2)
 def read_model(path: str) -> tuple[dict, list, dict[str, int]]:
     """Vocabulary, merges and special strings with ids. Raises for another kind of tokenizer."""
     with open(path, encoding="utf-8") as f:

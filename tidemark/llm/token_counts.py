@@ -32,7 +32,9 @@ from tidemark.llm.text import slices, totals, utf8
 END = 256
 _ZERO = 128  # weights are kept as bytes above this offset
 CHUNK = 256
-MAX_STATES = 180_000  # about 300 MB with the table; beyond it compiling begins anew
+MAX_STATES = 96_000  # about 120 MB with the table; beyond it compiling begins anew
+MAX_PAIRS = 1 << 18
+TEXT_BYTES = 1 << 20  # of a slice
 
 
 class Merges:
@@ -55,7 +57,7 @@ class Merges:
         self.merge = {}
         for rank, (a, b) in enumerate(merges):
             self.merge.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def encode(self, symbols: tuple[int, ...]) -> list[int]:
         units = [(s,) for s in symbols]
@@ -75,9 +77,12 @@ class Merges:
         """Whether token ``b`` may follow ``a`` in one word; a word may begin with any (a < 0)."""
         if a < 0:
             return True
-        if (a, b) not in self.pairs:
-            self.pairs[a, b] = self.encode(self.text[a] + self.text[b]) == [a, b]
-        return self.pairs[a, b]
+        known = self.pairs.get(a << 32 | b)
+        if known is None:
+            if len(self.pairs) >= MAX_PAIRS:
+                self.pairs.clear()
+            known = self.pairs[a << 32 | b] = self.encode(self.text[a] + self.text[b]) == [a, b]
+        return known
 
 
 class Transducer:
@@ -103,10 +108,11 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        self.column = np.full(512, -1, np.int64)
+        self.column = np.full(512, -1, np.int32)
         self.symbol = [-1]
         start = ((0, -1, 0),)
         self.states, self.known, self.last = [start], {start: 0}, [-1]
+        self.places: dict[tuple, tuple] = {}  # one object for equal parts of states
         self.table = np.full((1024, 64), -1, np.int32)
         self.table[:, 0] = (np.arange(1024) << 8) | _ZERO  # column 0 stands still
 
@@ -115,7 +121,7 @@ class Transducer:
             self.column[s] = len(self.symbol)
             self.symbol.append(int(s))
         if len(self.symbol) > self.table.shape[1]:
-            self.table = np.pad(self.table, ((0, 0), (0, 64)), constant_values=-1)
+            self.table = np.pad(self.table, ((0, 0), (0, 32)), constant_values=-1)
             return self.columns(symbols)
         return self.column[symbols]
 
@@ -139,14 +145,14 @@ class Transducer:
         if ends:  # leads to the start state; the table keeps the word's last token in its place
             self.table[state, column] = (last << 8) | (weight + _ZERO)
             return
-        new = tuple((n, b, f - weight) for n, b, f in going) + ((0, last, 0),)
+        new = tuple([self.places.setdefault(p, p) for p in [*((n, b, f - weight) for n, b, f in going), (0, last, 0)]])
         to = self.known.get(new)
         if to is None:
             to = self.known[new] = len(self.states)
             self.states.append(new)
             self.last.append(last)
             if to >= len(self.table):
-                grown = np.full((len(self.table) + max(1024, len(self.table) // 4), self.table.shape[1]), -1, np.int32)
+                grown = np.full((len(self.table) + max(1024, len(self.table) // 8), self.table.shape[1]), -1, np.int32)
                 grown[: len(self.table)] = self.table
                 grown[:, 0] = (np.arange(len(grown)) << 8) | _ZERO
                 self.table = grown
@@ -172,8 +178,8 @@ class Transducer:
             self.clear()
         n = len(raw)
         lanes = max(1, -(-n // CHUNK))
-        columns, going = np.zeros(lanes * CHUNK, np.int64), np.ones(lanes * CHUNK, np.int64)
-        columns[:n] = self.columns(raw + np.where(last, np.int64(256), np.int64(0)))
+        columns, going = np.zeros(lanes * CHUNK, np.int32), np.ones(lanes * CHUNK, np.int8)
+        columns[:n] = self.columns(raw + (last * np.int16(256)))
         going[:n] = ~last
         grid = np.ascontiguousarray(columns.reshape(lanes, CHUNK).T)
         going = np.ascontiguousarray(going.reshape(lanes, CHUNK).T)
@@ -183,10 +189,10 @@ class Transducer:
             packed = self.step(state, grid[t])
             path[t] = packed >> 8
             weight[t] = (packed & 255) - _ZERO
-            state = path[t] * going[t]
+            state = (path[t] * going[t]).astype(np.int64)
         arrives = np.zeros(lanes, np.int64)  # what every chunk's run began with
         while True:
-            now = np.concatenate([[0], path[-1, :-1] * going[-1, :-1]])
+            now = np.concatenate([[0], path[-1, :-1] * going[-1, :-1]]).astype(np.int64)
             lane = np.flatnonzero(now != arrives)
             if not len(lane):
                 return weight.T.ravel()[:n], path.T.ravel()[:n]
@@ -197,7 +203,7 @@ class Transducer:
                 was = path[t, lane] * going[t, lane]
                 path[t, lane] = packed >> 8
                 weight[t, lane] = (packed & 255) - _ZERO
-                state = path[t, lane] * going[t, lane]
+                state = (path[t, lane] * going[t, lane]).astype(np.int64)
                 apart = was != state
                 lane, state = lane[apart], state[apart]
                 if not len(lane):
@@ -255,7 +261,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(tokenizer)
-        for part in slices(batches):
+        for part in slices(batches, most=TEXT_BYTES):
             col = part.column(1)
             tokens = machine.count([t or "" for t in col.to_pylist()])
             size = np.diff(utf8(col)[1])
