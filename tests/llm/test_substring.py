@@ -59,7 +59,7 @@ def test_against_all_windows(spark, shard):
 
 def test_text_keeps_the_columns(spark):
     rows = corpus(5)
-    df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, x string")
+    df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, _x string")
     got = substring.dedup_substrings(df, length=10, run=4, with_text=True)
     assert got.columns == df.columns
     split = lambda t: " ".join(re.findall(r"[^\x20\x09-\x0D]+", t or ""))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import WORD, hash60, null_safe, stored, words_in
+from tidemark.llm.tables import WORD, apart, hash60, null_safe, stored, words_in
 
 
 def source_targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
@@ -89,13 +89,14 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     follows the text where the column exists.
     """
     a = allotments(docs, **options).where("taken > 0").select("dkey", "skey", "size", "taken")
-    marked = docs.withColumns({"_d": null_safe(F.col("doc_id")), "_s": null_safe(F.col("source")), "_z": words_in(F.col("text"))})
-    both = marked.join(a, (F.col("_d") == a["dkey"]) & (F.col("_s") == a["skey"]) & (F.col("_z") == a["size"]))
+    plain, (doc_id, text, source, n_chars) = apart(docs, "doc_id", "text", "source", "n_chars")
+    marked = plain.withColumns({"dkey": null_safe(F.col(doc_id)), "skey": null_safe(F.col(source)), "size": words_in(F.col(text))})
+    both = marked.join(a, ["dkey", "skey", "size"])
     rest = F.col("taken") % F.col("size")
     lengths = F.concat(F.array_repeat(F.col("size"), (F.col("taken") / F.col("size")).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     out = both.withColumn("_len", F.explode(lengths))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), 0), 1, F.col("_len").cast("int")), " ")
-    out = out.withColumn("text", F.when(F.col("_len") == F.col("size"), F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), 0), 1, F.col("_len").cast("int")), " ")
+    out = out.withColumn(text, F.when(F.col("_len") == F.col("size"), F.col(text)).otherwise(cut))
+    if n_chars:
+        out = out.withColumn(n_chars, F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(*plain.columns).toDF(*docs.columns)

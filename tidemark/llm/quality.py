@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from tidemark.llm.tables import apart
 from tidemark.llm.text import _BYTE, _GAP, mix, slices, span_hash, utf8, window_hash
 
 _MARK = np.ones(256, bool)
@@ -173,8 +174,6 @@ def keep_quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), t
 
     The labelled texts come from ``training``, by default ``docs`` itself.
     """
-    names = [f"c{i}" for i in range(len(docs.columns))]  # any column may be called like ours
-    plain = docs.toDF(*names)
-    text = names[docs.columns.index("text")]
+    plain, (text,) = apart(docs, "text")
     scored = score_quality(plain.withColumnRenamed(text, "text"), fit(docs if training is None else training, labels, s), s)
     return scored.where(F.col("_score") >= threshold).drop("_score").toDF(*docs.columns)

@@ -44,6 +44,16 @@ def null_safe(col: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), col.cast("string")), F.lit("-"))
 
 
+def apart(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns numbered, and the new names of ``names``.
+
+    Columns that an operator adds cannot clash with those of its input then;
+    ``toDF(*docs.columns)`` gives the names back.
+    """
+    new = [f"column{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*new), [new[docs.columns.index(n)] if n in docs.columns else "" for n in names]
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``stored`` wrote, once nothing reads them any more."""
     for t in tables:
