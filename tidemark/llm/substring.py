@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.sieve import sieve
-from tidemark.llm.tables import stored
+from tidemark.llm.tables import apart, discard, stored
 from tidemark.llm.text import Words, slices, span_hash, window_hash
 
 LENGTH = 50
 RUN = 16
-#: Segments that one automaton takes at most; shards above it are split by window.
-SHARD = 256
+#: Segments that one automaton meets at most: some 100 MB and a second of work where
+#: all of them differ. Shards above it are split by window.
+SHARD = 4096
 
 
 class SuffixAutomaton:
@@ -185,7 +186,7 @@ def _through_automata(words: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor = doc = machine = None
-        waiting: list[list[int]] = []
+        waiting: list[list[int]] = []  # what the present document adds
         for batch in batches:
             out: list[tuple] = []
             for a, content, d, words in zip(*(c.to_pylist() for c in batch.columns)):
@@ -195,16 +196,16 @@ def _through_automata(words: DataFrame, length: int) -> DataFrame:
                     for w in waiting:
                         machine.add(w)
                     doc, waiting = d, []
-                sizes = np.array(machine.matches(words)[length - 1 :])
-                out += [(a, content, low, high) for low, high in spans(sizes >= length)]
-                waiting.append(words)
+                known = np.array(machine.matches(words)[length - 1 :]) >= length
+                out += [(a, content, low, high) for low, high in spans(known)]
+                waiting += [words[low : high + length - 1] for low, high in spans(~known)]  # the rest is in it
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["anchor", "content", "low", "high"])
 
     return words.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "content").mapInArrow(run, schema)
 
 
 def covered_windows(docs: DataFrame, segs: DataFrame, length: int, shard: int) -> DataFrame:
-    """``doc_id, x, low, high``: windows that occur in a document with a smaller id."""
+    """``doc_id, x, ranges``: windows that occur in a document with a smaller id."""
     by_anchor = segs.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     common = stored(by_anchor.where("lo < hi").select("anchor"), "substring-anchors")
     cand = stored(segs.where(sieve(common, "anchor")).join(common, "anchor", "left_semi"), "substring-candidates")
@@ -222,7 +223,10 @@ def covered_windows(docs: DataFrame, segs: DataFrame, length: int, shard: int) -
     placed = cand.join(first, ["anchor", "content"])
     whole = placed.where("doc_id > lo").select("doc_id", "x", F.col("first").alias("low"), (F.col("first") + F.col("count")).alias("high"))
     partly = placed.where("doc_id = lo").join(marks, ["anchor", "content"]).select("doc_id", "x", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
-    return whole.unionByName(partly)
+    found = whole.unionByName(partly)
+    ranges = stored(found.groupBy("doc_id", "x").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "substring-ranges")
+    discard(common, cand, heads, keyed, marks)
+    return ranges
 
 
 def _removed(n_words: int, ranges: list, length: int) -> np.ndarray:
@@ -234,17 +238,17 @@ def _removed(n_words: int, ranges: list, length: int) -> np.ndarray:
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, run: int = RUN, shard: int = SHARD, with_text: bool = False) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_words, n_removed, kept_sha256`` (and ``text``).
+    """One row per row of ``docs``: ``doc_id, n_words, n_removed, kept_sha256``.
 
-    ``text`` is what is left: the text as it was where nothing is removed, else the
-    kept words joined by single spaces. NULL and empty texts have no words; texts
+    With ``with_text`` the rows of ``docs`` come back with what is left of their
+    texts: as they were where nothing is removed, else the kept words joined by
+    single spaces, with ``n_chars`` to match. NULL and empty texts have no words; texts
     below ``length`` words lose none. Rows with one id are judged each for itself
     and never against each other; rows that agree in id and text are treated alike.
     Rows without an id lose nothing and are no reference. Other columns are not read.
     """
     rows, segs = scanned(docs, length, run)
-    found = covered_windows(docs, segs, length, shard)
-    ranges = stored(found.groupBy("doc_id", "x").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "substring-ranges")
+    ranges = covered_windows(docs, segs, length, shard)
     touched = _keyed(docs).where(sieve(ranges, "doc_id", "x")).join(ranges, ["doc_id", "x"])
     schema = "doc_id long, x long, n_removed long, kept string, text string"
 
@@ -261,9 +265,13 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, run: int = RUN, shar
 
     changed = touched.select("doc_id", "x", "text", "ranges").mapInArrow(cut, schema)
     if with_text:
-        changed = changed.dropDuplicates(["doc_id", "x"])
-        both = docs.withColumns({"_x": F.xxhash64("text"), "_id": F.col("doc_id").cast("long")}).join(changed.select(F.col("doc_id").alias("_i"), F.col("x").alias("_y"), F.col("text").alias("_kept")), (F.col("_id") == F.col("_i")) & (F.col("_x") == F.col("_y")), "left")
-        return both.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
+        changed = changed.dropDuplicates(["doc_id", "x"]).select(F.col("doc_id").alias("_d"), F.col("x").alias("_x"), F.col("text").alias("_kept"))
+        plain, (doc_id, text, n_chars) = apart(docs, "doc_id", "text", "n_chars")
+        both = plain.withColumns({"_x": F.xxhash64(text), "_d": F.col(doc_id).cast("long")}).join(changed, ["_d", "_x"], "left")
+        if n_chars:
+            size = F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(F.col(n_chars))
+            both = both.withColumn(n_chars, size.cast(docs.schema["n_chars"].dataType))
+        return both.withColumn(text, F.coalesce("_kept", text)).select(*plain.columns).toDF(*docs.columns)
     changed = changed.select("doc_id", "x", "n_removed", "kept").dropDuplicates(["doc_id", "x"])
     both = rows.join(changed, ["doc_id", "x"], "left")
     return both.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))
