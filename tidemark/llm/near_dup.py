@@ -3,12 +3,13 @@
 Texts are signed once (``probminhash``). Equal bands of registers make buckets of
 candidate texts; copies of one text are one candidate. Pairs inside a bucket are not
 listed. Each bucket names a pivot, the member that shares most with others, and
-every member is compared with its pivots only. Members that are near the pivot are
-in one class, whatever their similarity to each other. For a pair with a member that
-is not, the distances to the pivot decide: one minus probability Jaccard is a
+every member is compared with its pivots only. Members that this joins to the pivot's
+class need no more comparison with it, whatever their similarity to each other. For
+those left out, distances to the pivot decide: one minus probability Jaccard is a
 metric, so two texts whose distances to the pivot differ by more than the limit
-cannot be near. What remains is compared by signature, in blocks. Signatures only
-choose; a link is the exact probability Jaccard of two texts.
+cannot be near. What remains is compared in blocks of bounded size, which pass on
+only links that join two classes. Signatures only choose; a link is the exact
+probability Jaccard of two texts.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import probminhash as M
 from tidemark.llm.groups import components, runs
 from tidemark.llm.sieve import sieve
-from tidemark.llm.tables import discard, stored
+from tidemark.llm.tables import apart, discard, stored
 from tidemark.llm.text import Words, slices
 
 SHINGLE = 5
@@ -109,36 +110,77 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return both.select("k", "p", "text", "other").mapInArrow(run, "k long, p long")
 
 
-def unresolved(star: DataFrame, least: float) -> DataFrame:
-    """Pairs that share a pivot, are not both linked to it, and look near by signature.
+def _blocks(star: DataFrame, *payload: str) -> DataFrame:
+    """Rows of each pivot dealt to blocks of bounded size, all pairs with one that asks.
 
-    ``star``: ``k, p, est, registers, linked``. Per pivot the unlinked members meet
-    all members in blocks of bounded size.
+    ``star``: ``k, p, est, registers, root, asks`` and the payload. Members that ask
+    meet all members of their pivot; pivots without an asking pair are left out.
     """
-    sizes = star.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr("int(not linked)")).alias("u")).where("n > 1 and u > 0")
-    sizes = sizes.select("p", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("u") / BLOCK).cast("int").alias("ub"))
+    sizes = star.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("asks").cast("int")).alias("u")).where("n > 1 and u > 0")
+    sizes = sizes.select("p", F.ceil(F.col("n") / BLOCK).alias("nb"), F.ceil(F.col("u") / BLOCK).alias("ub"))
     s = star.join(sizes, "p").withColumn("own", F.pmod(F.xxhash64("k"), F.col("nb"))).withColumn("of", F.pmod(F.xxhash64("k"), F.col("ub")))
-    every = F.sequence(F.lit(0).cast("long"), F.col("ub").cast("long") - 1)
-    refs = s.select("k", "p", "est", "linked", "registers", F.lit(False).alias("asks"), F.explode(every).alias("i"), F.col("own").alias("j"))
-    asks = s.where("not linked").select("k", "p", "est", "linked", "registers", F.lit(True).alias("asks"), F.col("of").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb").cast("long") - 1)).alias("j"))
+    names = ["k", "p", "est", "registers", "root", "asks", *payload]
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    refs = s.select(*names, F.lit(False).alias("turn"), every("ub").alias("i"), F.col("own").alias("j"))
+    asks = s.where("asks").select(*names, F.lit(True).alias("turn"), F.col("of").alias("i"), every("nb").alias("j"))
     rows = refs.unionByName(asks).withColumn("g", F.xxhash64("p", "i", "j"))
-    limit = 1 - least
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return rows.repartition("g").sortWithinPartitions("g", "turn", "k")
+
+
+def _partners(t: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each asking row of a block, the rows of other classes that may be near it."""
+    k, p, i, j, est, root = (t.column(c).to_numpy() for c in ("k", "p", "i", "j", "est", "root"))
+    asks, turn = (t.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "turn"))
+    regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), "<u2").reshape(len(k), -1)
+    window = 1 - least + 2 * MARGIN  # of estimated distances to the pivot
+    b = np.flatnonzero(~turn)
+    for q in np.flatnonzero(turn):
+        # Of two that ask, the one with the smaller key does.
+        c = b[(np.abs(est[b] - est[q]) <= window) & (root[b] != root[q]) & (~asks[b] | (k[b] > k[q])) & (p[b] == p[q]) & (i[b] == i[q]) & (j[b] == j[q])]
+        c = c[(regs[c] == regs[q]).mean(axis=1) >= least - MARGIN]
+        if len(c):
+            yield q, c
+
+
+def unresolved(star: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links ``k, p`` between members of a pivot that are in different classes so far.
+
+    A first pass over signatures names the members with a possible partner; only
+    their texts are dealt to blocks, where pairs are checked exactly. A block passes
+    on the links that join classes, at most one for each of its rows.
+    """
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "g"):
-            k, p, i, j, est = (t.column(c).to_numpy() for c in ("k", "p", "i", "j", "est"))
-            linked, asks = (t.column(c).to_numpy(zero_copy_only=False) for c in ("linked", "asks"))
-            regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), "<u2").reshape(len(k), -1)
-            a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
-            out = [np.zeros(0, np.int64)] * 2
-            for q in a:
-                # A linked partner is met by whichever side asks; of two that ask, the smaller does.
-                c = b[(np.abs(est[b] - est[q]) <= limit + 2 * MARGIN) & (linked[b] | (k[b] > k[q])) & (k[b] != k[q]) & (p[b] == p[q]) & (i[b] == i[q]) & (j[b] == j[q])]
-                c = c[(regs[c] == regs[q]).mean(axis=1) >= least - MARGIN]
-                out = [np.append(out[0], np.full(len(c), k[q])), np.append(out[1], k[c])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(*out)), pa.array(np.minimum(*out))], names=["k", "p"])
+            hit = np.zeros(t.num_rows, bool)
+            for q, c in _partners(t, least):
+                hit[q] = True
+                hit[c] = True
+            yield from t.filter(pa.array(hit)).select(["k", "p"]).to_batches()
 
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "k long, p long").distinct()
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, "g"):
+            found: list[tuple[int, int]] = []
+            k, root = t.column("k").to_numpy(), t.column("root").to_numpy().copy()
+            sets: dict[int, tuple] = {}
+
+            def items(row: int) -> tuple[np.ndarray, np.ndarray]:
+                if row not in sets:
+                    sets[row] = M.shingles(Words.of(pa.array([t.column("text")[row].as_py()], pa.string())), shingle)[1:]
+                return sets[row]
+
+            for q, c in _partners(t, least):
+                for row in c.tolist():
+                    if root[row] != root[q] and M.probability_jaccard(*items(q), *items(row)) >= least:
+                        found.append((k[q], k[row]))
+                        root[root == root[row]] = root[q]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["k", "p"])
+
+    need = stored(_blocks(star).mapInArrow(mark, "k long, p long").distinct(), "near-open")
+    small = star.join(need, ["k", "p"]).join(texts, "k")
+    links = stored(_blocks(small, "text").mapInArrow(link, "k long, p long"), "near-links")
+    discard(need)
+    return links
 
 
 def near_classes(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -158,11 +200,17 @@ def near_classes(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR
     own = signs.select("k", "registers").where(sieve(inside, "k"))
     est = stored(estimated(pairs, own), "near-estimates")
     first = stored(verified(est.where(F.col("est") >= least - MARGIN).select("k", "p"), texts, shingle, least), "near-links")
-    star = est.join(first.withColumn("hit", F.lit(True)), ["k", "p"], "left").withColumn("linked", F.coalesce("hit", F.lit(False))).drop("hit")
-    more = unresolved(star, least)
-    second = stored(verified(more, texts, shingle, least), "near-links")
-    links = first.unionByName(second).select(F.col("k").alias("a"), F.col("p").alias("b"))
-    roots = components(links)
+    roots = components(first.select(F.col("k").alias("a"), F.col("p").alias("b")))
+    of_k = roots.withColumnRenamed("node", "k")
+    of_p = roots.select(F.col("node").alias("p"), F.col("root").alias("_r"))
+    star = est.join(of_k, "k", "left").join(of_p, "p", "left").withColumn("root", F.coalesce("root", "k"))
+    star = star.withColumn("asks", F.col("root") != F.coalesce("_r", "p")).drop("_r")
+    second = unresolved(star, texts, shingle, least)
+    if not second.isEmpty():
+        all_links = first.unionByName(second)
+        whole = components(all_links.select(F.col("k").alias("a"), F.col("p").alias("b")))
+        discard(roots)
+        roots = whole
     named = signs.select("doc_id", "k").join(roots.withColumnRenamed("node", "k"), "k", "left").select("doc_id", "k", F.coalesce("root", "k").alias("root"))
     named = stored(named, "near-roots")
     discard(signs, pairs, inside, texts, est, first, second, roots)
@@ -186,8 +234,9 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     same = found.groupBy("root", "doc_id", "k").agg(F.count(F.lit(1)).alias("n"))
     keep = same.groupBy("root").agg(F.min(F.struct("k", "n", "doc_id")).alias("m"))
     keep = stored(keep.select(F.col("m.doc_id").alias("_i"), F.col("m.k").alias("_k"), F.col("m.n").alias("_n")), "near-keep")
-    marked = docs.withColumns({"_x": F.xxhash64("text"), "_d": F.col("doc_id").cast("long")})
-    judged = _has_word(F.col("text")) & F.col("_d").isNotNull()
+    plain, (doc_id, text) = apart(docs, "doc_id", "text")
+    marked = plain.withColumns({"_x": F.xxhash64(text), "_d": F.col(doc_id).cast("long")})
+    judged = _has_word(F.col(text)) & F.col("_d").isNotNull()
     kept = marked.where(judged).join(keep, (F.col("_d") == F.col("_i")) & (F.col("_x") == F.col("_k")))
     kept = kept.where("_n = 1").unionByName(kept.where("_n > 1").dropDuplicates(["_d", "_x"]))
-    return kept.select(*docs.columns).unionByName(marked.where(~judged).select(*docs.columns))
+    return kept.select(*plain.columns).unionByName(marked.where(~judged).select(*plain.columns)).toDF(*docs.columns)

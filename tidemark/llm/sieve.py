@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 1 << 23
+BITS = 1 << 21
 
 
 def sieve(keys: DataFrame, *names: str) -> Column:
