@@ -118,6 +118,6 @@ def test_models_by_name(spark, data):
         fitted_ = Z.fit(name, rows, 1, params)
         assert fitted_.model.transform(rows).count() == 60
         assert fitted_.diagnostics["converged"]
-    cells = Z.fit_cells([("a",), ("bad",)], lambda c: rows if c[0] == "a" else rows.select("missing"), lambda c: rows,
-                        lambda r: Z.fit("ridge", r), "ridge")
+    cells = list(Z.fit_cells([("a",), ("bad",)], lambda c: rows if c[0] == "a" else rows.select("missing"), lambda c: rows,
+                             lambda r: Z.fit("ridge", r), "ridge"))
     assert cells[0][3] is None and cells[1][3] is not None

@@ -93,3 +93,15 @@ def test_no_window_over_a_whole_group(skewed):
     plan = O.hash_rank(df, ["g"], O.seed_hash(F.col("g"), F.col("id")), "id")._jdf.queryExecution().optimizedPlan().toString()
     row_windows = [line for line in plan.splitlines() if "Window" in line and "row_number()" in line]
     assert row_windows and all("_b#" in line.split("row_number()")[1] for line in row_windows)
+
+
+def test_narrow_values_far_from_zero_are_cut(spark):
+    for low, width in ((1.7e9, 1e5), (1e6, 100.0)):
+        v = low + np.linspace(0, width, 100_000)
+        df = spark.createDataFrame(pd.DataFrame({"v": v})).select("v", F.lit("g").alias("g"), O.order_digit(F.col("v")).alias("_d"))
+        assert df.select("_d").distinct().count() <= 2
+        cut = O.spread(df, ["g"], "v").groupBy("_d", "_slice").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("_d", "_slice").collect()
+        assert len(cut) > 300 and max(r.n for r in cut) < 2 * O.BUCKET_ROWS
+        assert all(a.hi <= b.lo for a, b in zip(cut, cut[1:]))
+        got = O.exact_quantiles(df, ["g"], "v", {"q": 0.37}).first().q
+        assert got == pytest.approx(np.quantile(v, 0.37), rel=1e-12)

@@ -239,3 +239,17 @@ def metric_nonfinite_guard(spark, d):
                                     F.lit(float("inf"))).otherwise(F.col("score")))
     )
     return rounded(M.classification_metrics(broken, BY).select(*BY, "brier", "accuracy"))
+
+
+BROKEN = "row_id % 1000 = 1 AND ((model = 'a' AND seed = 11) OR (model = 'b' AND seed = 22))"
+
+
+@query("metric_failed_cells", f"""WITH {views.PREDS_SQL}, bad AS (SELECT DISTINCT {KEYS}, true AS failed FROM preds WHERE {BROKEN})
+SELECT {KEYS}, CASE WHEN failed IS NULL THEN {r(f"sqrt({MSE})", 4)} END AS rmse, CASE WHEN failed IS NULL THEN {r(f"quantile_cont(abs({ERR}), 0.5)", 4)} END AS medae
+FROM preds LEFT JOIN bad USING ({KEYS}) GROUP BY {KEYS}, failed""")
+def metric_failed_cells(spark, d):
+    """An infinite and a NaN prediction: their cells have no metrics, the others theirs."""
+    bad = F.expr(BROKEN)
+    value = F.when(bad & (F.col("seed") == 11), float("inf")).when(bad, float("nan")).otherwise(F.col("y_pred"))
+    rows = M.regression_metrics(views.preds(spark, d).withColumn("y_pred", value), BY)
+    return rounded(rows.select(*BY, "rmse", "medae"), 4)

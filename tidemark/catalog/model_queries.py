@@ -43,13 +43,13 @@ RESULT_METRICS = ["r2_test", "rmse", "mae", "max_error", "nrmse", "pearson_r", "
 
 def _result_sql() -> str:
     exprs = {n: e for cols in SIMPLE.values() for n, e in cols.items()}
-    cols = ", ".join(f"{r(exprs[n], 3)} AS {n}" for n in RESULT_METRICS)
+    cols = ", ".join(f"CASE WHEN n >= 20 THEN {r(exprs[n], 3)} END AS {n}" for n in RESULT_METRICS)
     return f"""WITH {CELLS_SQL},
  fills AS (SELECT seed, draw, n, quantile_cont(x_acctbal, 0.5) AS fill FROM cells GROUP BY ALL),
  fit AS (SELECT seed, draw, n, regr_slope(y, coalesce(x_acctbal, fill)) AS slope,
    regr_intercept(y, coalesce(x_acctbal, fill)) AS intercept, avg(y) AS train_mean, max(fill) AS fill FROM cells JOIN fills USING (seed, draw, n) GROUP BY ALL),
  p AS (SELECT seed, draw, n, y AS y_true, intercept + slope * coalesce(x_acctbal, fill) AS y_pred, train_mean FROM split JOIN fit USING (seed) WHERE role = 'test')
-SELECT 'exp' AS experiment_id, 'ols' AS model, seed, draw, n, count(*)::BIGINT AS n_test_total, {cols}, {r('quantile_cont(abs(y_true - y_pred), 0.5)', 3)} AS medae,
+SELECT 'exp' AS experiment_id, 'ols' AS model, seed, draw, n, count(*)::BIGINT AS n_test_total, {cols}, CASE WHEN n >= 20 THEN {r('quantile_cont(abs(y_true - y_pred), 0.5)', 3)} END AS medae,
  false AS constant_prediction, CASE WHEN n < 20 THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN n < 20 THEN 'below_cv_floor' END AS error FROM p GROUP BY seed, draw, n"""
 
 
@@ -111,7 +111,7 @@ def cell(spark, d, y="y", standardized=False, passthrough=False):
     filled = I.apply_fills(split, packed, by, views.ARD_SOURCES, passthrough, n_cells=1)
     if standardized:
         filled = I.standardize(filled, by, n_cells=1)
-    vectors = Z.as_vectors(filled, y, keep=["row_id", "role"]).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = Z.as_vectors(filled, y, keep=["row_id", "role"], passthrough=passthrough).persist(StorageLevel.MEMORY_AND_DISK)
     return vectors.where("role = 'train'").drop("role"), vectors.where("role = 'test'").drop("role")
 
 

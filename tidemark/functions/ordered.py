@@ -2,10 +2,12 @@
 
 A window over ``partitionBy(cell).orderBy(value)`` sorts each cell in a single
 task, so one large cell stalls the job. Here every value is first mapped to a
-*bucket* by a monotone function of the value alone. Bucket totals are small and
-give each bucket its starting offset; the window then runs per (cell, bucket).
-Bucket ids depend only on the row, so a retried or recomputed task always
-produces the same ids.
+*bucket* by a monotone function of the value alone; a bucket that turns out too
+full, as for values far from zero with a narrow spread, is cut between its own
+least and largest value. Bucket totals are small and give each bucket its
+starting offset; the window then runs per (cell, bucket). Bucket ids depend only
+on the rows, never on tasks, so a retried or recomputed task always produces the
+same ids.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 DIGIT_STEPS = 512
 # Selection only orders one bucket per wanted rank, so its histogram is coarser.
 SELECT_STEPS = 128
+# A bucket with more rows than this is cut further, between its own least and
+# largest value.
+BUCKET_ROWS = 256
 # Keeps exponents positive: doubles reach down to 2**-1074.
 DIGIT_BIAS = 1100
 # Hex digits of an md5 used as its bucket: 16**3 = 4096 buckets per group.
@@ -41,6 +46,20 @@ def order_digit(value: Column, steps: int = DIGIT_STEPS) -> Column:
     )
 
 
+def spread(rows: DataFrame, by: Sequence[str], value: str, most: int | None = None) -> DataFrame:
+    """Add ``_slice``, the slice of each row inside its bucket ``_d``, monotone in ``value``."""
+    by, most = list(by), most or BUCKET_ROWS
+    full = rows.groupBy(*by, "_d").agg(
+        F.count(F.lit(1)).alias("_bucket_n"),
+        F.min(value).cast("double").alias("_bucket_lo"),
+        F.max(value).cast("double").alias("_bucket_hi"),
+    ).where((F.col("_bucket_n") > most) & (F.col("_bucket_lo") < F.col("_bucket_hi")))
+    slices = F.ceil(F.col("_bucket_n") / most)
+    share = (F.col(value).cast("double") - F.col("_bucket_lo")) / (F.col("_bucket_hi") - F.col("_bucket_lo"))
+    at = F.least(F.floor(share * slices), slices - 1)
+    return rows.join(full, [*by, "_d"], "left").withColumn("_slice", F.coalesce(at, F.lit(0)).cast("bigint")).drop("_bucket_n", "_bucket_lo", "_bucket_hi")
+
+
 def seed_hash(*parts: Column | str | int) -> Column:
     """Hex digest that orders rows pseudo-randomly and reproducibly."""
     cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]
@@ -147,20 +166,22 @@ def ordered_running(
         .agg(*[F.sum(c).alias(s) for s, c in sums.items()])
         .withColumn("_d", order_digit(F.col(value)))
     )
-    totals = distinct.groupBy(*by, "_d").agg(
+    distinct = spread(distinct, by, value)
+    totals = distinct.groupBy(*by, "_d", "_slice").agg(
         *[F.sum(s).alias(f"_{s}") for s in names], F.min(value).alias("_first")
     )
     whole = Window.partitionBy(*by)
-    run = whole.orderBy("_d")
+    run = whole.orderBy("_d", "_slice")
     offsets = totals.select(
         *by,
         "_d",
+        "_slice",
         *[(F.sum(f"_{s}").over(run) - F.col(f"_{s}")).alias(f"_o_{s}") for s in names],
         *[F.sum(f"_{s}").over(whole).alias(f"{s}_total") for s in names],
         *([F.lead("_first").over(run).alias("_next_first")] if with_next else []),
     )
-    inner = Window.partitionBy(*by, "_d").orderBy(value)
-    joined = distinct.join(offsets, [*by, "_d"])
+    inner = Window.partitionBy(*by, "_d", "_slice").orderBy(value)
+    joined = distinct.join(offsets, [*by, "_d", "_slice"])
     return joined.select(
         *by,
         value,
@@ -217,14 +238,19 @@ def exact_quantiles(
         _, low, high = at(prob)
         wanted = wanted | holds(low) | holds(high)
     near = hist.where(wanted).select(*by, "_d", F.col("_o").alias("_start"), "_n")
-    inner = Window.partitionBy(*by, "_d").orderBy("_v")
-    picked = (
+    picked = spread(
         rows.join(near, [*by, "_d"])
         .groupBy(*by, "_d", "_v", "_start", "_n")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn(
-            "_o", F.col("_start") + F.sum("_c").over(inner) - F.col("_c")
-        )
+        .agg(F.count(F.lit(1)).alias("_c")),
+        by,
+        "_v",
+    )
+    slices = picked.groupBy(*by, "_d", "_slice").agg(F.sum("_c").alias("_slice_n"))
+    run = Window.partitionBy(*by, "_d").orderBy("_slice")
+    slices = slices.select(*by, "_d", "_slice", (F.sum("_slice_n").over(run) - F.col("_slice_n")).alias("_slice_base"))
+    inner = Window.partitionBy(*by, "_d", "_slice").orderBy("_v")
+    picked = picked.join(slices, [*by, "_d", "_slice"]).withColumn(
+        "_o", F.col("_start") + F.col("_slice_base") + F.sum("_c").over(inner) - F.col("_c")
     )
     aggs = []
     for name, prob in probs.items():

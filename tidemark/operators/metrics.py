@@ -267,8 +267,13 @@ def kendall(preds: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def regression_metrics(preds: DataFrame, by: Sequence[str]) -> DataFrame:
-    """All thirty regression metrics, one row per cell."""
+    """All thirty regression metrics, one row per cell.
+
+    A cell with a prediction that is NULL, NaN or infinite has no metrics. Such a
+    prediction counts as 0 on the way, so that it can stop no other cell.
+    """
     by = list(by)
+    preds = preds.withColumn("_broken", ~finite(_p())).withColumn("y_pred", F.when(finite(_p()), _p()).otherwise(0.0))
     exprs = regression_aggregates()
     simple = [n for n in REGRESSION_METRICS if n in exprs]
     quantiles = prediction_quantiles(
@@ -279,12 +284,14 @@ def regression_metrics(preds: DataFrame, by: Sequence[str]) -> DataFrame:
         F.max("bias_q50").alias("median_bias"),
         _d2_column(F.col("y_q50")).alias("d2_absolute_error"),
         *_hit_columns(),
+        F.bool_or("_broken").alias("_broken"),
     )
     parts = [base, spearman(preds, by), kendall(preds, by), distribution_distance(preds, by)]
-    return reduce(lambda l, rgt: l.join(rgt, by, "left"), parts).select(*by, *REGRESSION_METRICS)
+    whole = reduce(lambda l, rgt: l.join(rgt, by, "left"), parts)
+    return whole.select(*by, *[F.when(~F.col("_broken"), F.col(m)).alias(m) for m in REGRESSION_METRICS])
 
 
-def _finite(c: Column) -> Column:
+def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
@@ -310,7 +317,7 @@ def classification_aggregates() -> dict[str, Column]:
         "mcfadden_pseudo_r2": F.when(
             both & (F.min(rate) > 0) & (F.max(rate) < 1), 1 - F.sum(ll) / F.sum(null_ll)),
     }
-    return {n: F.when(F.bool_and(_finite(_s())), c) for n, c in out.items()}
+    return {n: F.when(F.bool_and(finite(_s())), c) for n, c in out.items()}
 
 
 def simple_classification(preds: DataFrame, by: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -321,9 +328,9 @@ def simple_classification(preds: DataFrame, by: Sequence[str], names: Sequence[s
 def ranking_quality(preds: DataFrame, by: Sequence[str]) -> DataFrame:
     """Area under the ROC curve and average precision, from distinct thresholds."""
     by = list(by)
-    finite = preds.withColumn("score", F.when(_finite(_s()), _s()).otherwise(F.lit(-1e308)))
+    scored = preds.withColumn("score", F.when(finite(_s()), _s()).otherwise(F.lit(-1e308)))
     run = ordered_running(
-        finite.withColumn("_neg", -F.col("score")), by, "_neg",
+        scored.withColumn("_neg", -F.col("score")), by, "_neg",
         {"pos": (_y() == 1).cast("bigint"), "neg": (_y() == 0).cast("bigint"),
          "bad": (F.col("score") == F.lit(-1e308)).cast("bigint")},
     )

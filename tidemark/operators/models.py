@@ -7,7 +7,8 @@ values, so passthrough features are given a value below every real one.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Sequence
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -42,9 +43,13 @@ PARAMS: dict[str, dict] = {
     "ols_classifier": {"C": 1e12, "l1": 0.0},
     "ridge_classifier": {"C": 1.0, "l1": 0.0},
     "lasso_classifier": {"C": 1.0, "l1": 1.0},
-    "neural_net_classifier": {"hidden": 64, "iterations": 100},
+    "neural_net_classifier": {"hidden": 64, "iterations": 500},
 }
 MISSING_VALUE = -1e30
+LOGISTIC_ITERATIONS = 20_000
+# Base models of the classification stack that differ from the models by themselves.
+STACK_PARAMS = {"extra_trees_classifier": {"trees": 300}}
+PATIENCE = 10
 
 
 @dataclass
@@ -79,12 +84,14 @@ def make_estimator(name: str, n_rows: int, n_features: int, seed: int = 0,
                                               seed=seed, **columns)
     if clf:
         return LogisticRegression(regParam=1.0 / (p["C"] * n_rows), elasticNetParam=p["l1"],
-                                  standardization=False, maxIter=200, **columns)
+                                  standardization=False, maxIter=LOGISTIC_ITERATIONS, **columns)
     raise KeyError(name)
 
 
-def as_vectors(rows: DataFrame, y: str, x: str = "x", keep: Sequence[str] = ("row_id",)) -> DataFrame:
-    filled = F.transform(F.col(x), lambda v: F.coalesce(v, F.lit(MISSING_VALUE)))
+def as_vectors(rows: DataFrame, y: str, x: str = "x", keep: Sequence[str] = ("row_id",), passthrough: bool = False) -> DataFrame:
+    """Rows for an estimator. Only trees on passthrough rows take missing values; elsewhere one raises."""
+    absent = F.lit(MISSING_VALUE) if passthrough else F.raise_error(F.lit("a feature is missing")).cast("double")
+    filled = F.transform(F.col(x), lambda v: F.coalesce(v, absent))
     return rows.select(*keep, F.col(y).cast("double").alias("label"), array_to_vector(filled).alias("features"))
 
 
@@ -99,11 +106,9 @@ def score_column(name: str) -> Column:
 def describe(model: Model, limit: int | None = None) -> dict[str, object]:
     """Convergence, iterations and rounds a model reports; converged unless it hit its limit."""
     out: dict[str, object] = {"converged": True, "n_iter": None, "best_rounds": None}
-    try:
+    if getattr(model, "hasSummary", False) and hasattr(model.summary, "totalIterations"):
         out["n_iter"] = int(model.summary.totalIterations)
         out["converged"] = limit is None or out["n_iter"] < limit
-    except Exception:  # a model without a training summary
-        pass
     if hasattr(model, "getNumTrees"):
         trees = model.getNumTrees
         out["best_rounds"] = int(trees() if callable(trees) else trees)
@@ -142,14 +147,28 @@ def fit_boosted_cv(train: DataFrame, seed: int = 0, folds: int = 5, params: dict
 
 def fit_boosted_early_stop(train: DataFrame, seed: int = 0, share: float = 0.2,
                            params: dict | None = None) -> Fitted:
-    """Boosting that stops once a held-back share of the rows no longer improves."""
+    """Boosting cut where a held-back share of the rows has not improved for ``PATIENCE`` rounds.
+
+    All rounds are fitted on the other rows; the patience rule is applied to the
+    held rows' error after each, and the model keeps the rounds up to the best.
+    """
     p = {**PARAMS["boosted_leaf"], **(params or {})}
     held = F.conv(F.substring(seed_hash(seed, "e", F.col("row_id")), 1, 8), 16, 10).cast("double") < share * 2.0**32
     est = make_estimator("boosted_leaf", 1, 1, seed, p)
-    est = est.setValidationIndicatorCol("held")
-    est.set(est.validationTol, p["tol"])
-    model = est.fit(train.withColumn("held", held))
-    return Fitted(model, describe(model))
+    model = est.fit(train.where(~held))
+    rounds = best_round(model.evaluateEachIteration(train.where(held), "squared"))
+    return Fitted(fit("boosted_leaf", train.where(~held), seed, {**p, "rounds": rounds}).model, {**describe(model), "best_rounds": rounds})
+
+
+def best_round(errors: Sequence[float], patience: int = PATIENCE) -> int:
+    """Round of the least error, looking on until ``patience`` rounds in a row bring nothing better."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
 
 
 def nonnegative_weights(xx: np.ndarray, xy: np.ndarray) -> np.ndarray:
@@ -240,16 +259,17 @@ def regression_stack(train: DataFrame, seed: int = 0, folds: int = 5, params: di
 def classification_stack(train: DataFrame, seed: int = 0, folds: int = 5, params: dict | None = None) -> Stack:
     p = params or {}
     names = ("ridge_classifier", "boosted_leaf_classifier", "extra_trees_classifier", "neural_net_classifier")
-    return fit_stack(train, {n: (lambda rows, n=n: fit(n, rows, seed, p.get(n))) for n in names},
+    return fit_stack(train, {n: (lambda rows, n=n: fit(n, rows, seed, {**STACK_PARAMS.get(n, {}), **p.get(n, {})})) for n in names},
                      folds, True, seed)
 
 
 def fit_cells(cells: Sequence[tuple], train_of: Callable[[tuple], DataFrame], test_of: Callable[[tuple], DataFrame],
-              fitter: Fitter, name: str, parallel: int = 4) -> list[tuple[tuple, Fitted | None, DataFrame | None, str | None]]:
+              fitter: Fitter, name: str, parallel: int = 4) -> Iterator[tuple[tuple, Fitted | None, DataFrame | None, str | None]]:
     """Fit one Spark ML model per cell, several jobs at a time.
 
-    Returns ``(cell, fitted, predictions, error)``: a failing cell is reported,
-    it does not stop the others.
+    Yields ``(cell, fitted, predictions, error)`` in order: a failing cell is
+    reported, it does not stop the others. At most ``parallel`` models are held;
+    the next is begun when the caller has taken one.
     """
     def one(cell: tuple):
         try:
@@ -261,4 +281,10 @@ def fit_cells(cells: Sequence[tuple], train_of: Callable[[tuple], DataFrame], te
             return cell, None, None, f"{type(e).__name__}: {e}"
 
     with ThreadPoolExecutor(parallel) as pool:
-        return list(pool.map(one, cells))
+        waiting = deque()
+        for cell in cells:
+            waiting.append(pool.submit(one, cell))
+            if len(waiting) >= parallel:
+                yield waiting.popleft().result()
+        while waiting:
+            yield waiting.popleft().result()

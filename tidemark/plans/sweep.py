@@ -157,16 +157,25 @@ def linear_sweep(sample: Sample, sources: Sequence[D.Source], k_grid: Sequence[i
 
 def result_rows(preds: DataFrame, sample: Sample, experiment_id: str, model: str | None = None,
                 by: Sequence[str] = BY, min_n: int = 1) -> DataFrame:
-    """Result rows of predicted cells: identity, sizes, all metrics, flags, status and error."""
+    """Result rows of predicted cells: identity, sizes, all metrics, flags, status and error.
+
+    A cell below ``min_n`` is skipped and one with a prediction that is no finite
+    number has failed; neither has metrics. The predictions stay persisted, for the
+    caller to release.
+    """
     by = list(by)
     # The metrics take several passes over the predictions.
     preds = preds.persist(StorageLevel.MEMORY_AND_DISK)
     sizes = preds.groupBy(*by).agg(F.count(F.lit(1)).alias("n_test_total"))
-    metrics = M.regression_metrics(preds, by)
+    used = preds.where(F.col("n") >= min_n)
+    metrics = M.regression_metrics(used, by)
+    broken = used.groupBy(*by).agg(F.bool_or(~M.finite(F.col("y_pred"))).alias("_broken"))
     flags = I.constant_prediction(preds, by)
-    out = sizes.join(metrics, by).join(flags, by)
+    out = sizes.join(metrics, by, "left").join(broken, by, "left").join(flags, by, "left")
     if model is not None:
         out = out.withColumn("model", F.lit(model))
-    skipped = F.when(F.col("n") < min_n, "below_cv_floor")
-    return out.withColumn("experiment_id", F.lit(experiment_id)).withColumn(
-        "status", F.when(skipped.isNotNull(), "skipped").otherwise("ok")).withColumn("error", skipped)
+    failed = F.coalesce("_broken", F.lit(False))
+    status = F.when(F.col("n") < min_n, "skipped").when(failed, "failed").otherwise("ok")
+    error = F.when(F.col("n") < min_n, "below_cv_floor").when(failed, "non_finite_prediction")
+    return out.withColumn("experiment_id", F.lit(experiment_id)).withColumn("status", status).withColumn(
+        "error", error).drop("_broken")
