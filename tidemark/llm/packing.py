@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.tables import stored
 from tidemark.llm.text import slices
-from tidemark.llm.token_counts import TEXT_BYTES, transducer
+from tidemark.llm.token_counts import transducer
 
 #: Lengths that may be the second of three; the commonest ones.
 SECONDS = 48
@@ -141,7 +141,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, part = transducer(tokenizer), TaskContext.get().partitionId()
         seen, full = [0] * window, 0
-        for piece in slices(batches, most=TEXT_BYTES):
+        for piece in slices(batches, holding=f"transducer {tokenizer}"):
             ids, off = machine.encode([t or "" for t in piece.column(1).to_pylist()])
             n = len(off) - 1
             ids = np.insert(ids, off[1:], end_id).astype("<u4" if machine.length.size > 0xFFFF else "<u2")

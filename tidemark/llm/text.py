@@ -7,13 +7,13 @@ documents, so that memory follows the longest document and not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
@@ -83,8 +83,24 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that the texts of each slice hold ``most`` bytes or are one text."""
+_HELD: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    """A large object that a worker process keeps from task to task."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES, holding: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts of each slice hold ``most`` bytes or are one text.
+
+    What an earlier task of another kind holds in this process is given up first.
+    """
+    if holding not in _HELD:
+        _HELD.clear()
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
         _, off = utf8(col)

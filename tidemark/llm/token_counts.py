@@ -20,21 +20,19 @@ and scan rounds repeat this until no arriving state changes.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.pretokens import WORD_END, Cut, byte_chars, read_model
-from tidemark.llm.text import slices, totals, utf8
+from tidemark.llm.text import held, slices, totals, utf8
 
 END = 256
 _ZERO = 128  # weights are kept as bytes above this offset
 CHUNK = 256
-MAX_STATES = 96_000  # about 120 MB with the table; beyond it compiling begins anew
+MAX_STATES = 80_000  # about 100 MB with the table; beyond it the half that is met most stays
 MAX_PAIRS = 1 << 18
-TEXT_BYTES = 1 << 20  # of a slice
 
 
 class Merges:
@@ -113,9 +111,32 @@ class Transducer:
         start = ((0, -1, 0),)
         self.states, self.known, self.last = [start], {start: 0}, [-1]
         self.places: dict[tuple, tuple] = {}  # one object for equal parts of states
+        self.visits = np.zeros(1024, np.int64)
         self.table = np.full((1024, 64), -1, np.int32)
         self.table[:, 0] = (np.arange(1024) << 8) | _ZERO  # column 0 stands still
 
+    def shrink(self) -> None:
+        """Forget the half of the states that was met least; their transitions are unknown again."""
+        n = len(self.states)
+        visits = np.zeros(n, np.int64)
+        visits[: min(n, len(self.visits))] = self.visits[:n]
+        visits[0] = np.iinfo(np.int64).max
+        keep = np.sort(np.argsort(-visits, kind="stable")[: max(1, self.max_states // 2)])
+        to = np.full(n, -1, np.int32)
+        to[keep] = np.arange(len(keep))
+        table = self.table[keep]
+        leads = np.array([s < 256 for s in self.symbol]).nonzero()[0]  # the other columns hold tokens
+        part = table[:, leads]
+        target = np.where(part >= 0, to[np.maximum(part, 0) >> 8], -1)
+        table[:, leads] = np.where(target >= 0, (target << 8) | (part & 255), -1)
+        self.table = table
+        self.states = [self.states[k] for k in keep.tolist()]
+        self.last = [self.last[k] for k in keep.tolist()]
+        self.known = {s: k for k, s in enumerate(self.states)}
+        self.places = {p: p for s in self.states for p in s}
+        self.visits = visits[keep] // 2
+        self.visits[0] = 0
+
     def columns(self, symbols: np.ndarray) -> np.ndarray:
         for s in np.flatnonzero(np.bincount(symbols, minlength=512) * (self.column < 0)):
             self.column[s] = len(self.symbol)
@@ -175,7 +196,7 @@ class Transducer:
         The sum of the weights along a pre-token is its number of tokens.
         """
         if len(self.states) > self.max_states:
-            self.clear()
+            self.shrink()
         n = len(raw)
         lanes = max(1, -(-n // CHUNK))
         columns, going = np.zeros(lanes * CHUNK, np.int32), np.ones(lanes * CHUNK, np.int8)
@@ -195,6 +216,9 @@ class Transducer:
             now = np.concatenate([[0], path[-1, :-1] * going[-1, :-1]]).astype(np.int64)
             lane = np.flatnonzero(now != arrives)
             if not len(lane):
+                met = np.bincount(path[going == 1], minlength=len(self.visits))
+                met[: len(self.visits)] += self.visits
+                self.visits = met
                 return weight.T.ravel()[:n], path.T.ravel()[:n]
             arrives = now
             state = now[lane]
@@ -243,10 +267,9 @@ class Transducer:
         return totals(self.run(cut.raw, cut.last)[0], cut.bounds) + np.array([len(s) for s in cut.special], np.int64)
 
 
-@lru_cache(1)
 def transducer(path: str) -> Transducer:
-    """One per worker process; what it has compiled serves later tasks."""
-    return Transducer(path)
+    """One per worker process; what it has compiled serves later tasks of its kind."""
+    return held(f"transducer {path}", lambda: Transducer(path))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
@@ -261,7 +284,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(tokenizer)
-        for part in slices(batches, most=TEXT_BYTES):
+        for part in slices(batches, holding=f"transducer {tokenizer}"):
             col = part.column(1)
             tokens = machine.count([t or "" for t in col.to_pylist()])
             size = np.diff(utf8(col)[1])
