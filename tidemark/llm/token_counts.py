@@ -31,7 +31,7 @@ from tidemark.llm.text import held, slices, totals, utf8
 END = 256
 _ZERO = 128  # weights are kept as bytes above this offset
 CHUNK = 256
-MAX_STATES = 80_000  # about 100 MB with the table; beyond it the half that is met most stays
+MAX_STATES = 56_000  # about 75 MB with the table; beyond it the half that is met most stays
 MAX_PAIRS = 1 << 18
 
 
