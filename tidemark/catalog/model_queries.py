@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark import StorageLevel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import views
@@ -12,9 +15,13 @@ from tidemark.catalog.sweep_queries import (
     APPLY_COLS,
     BY,
     CELLS_SQL,
+    DRAWS,
     FILLS_CTE,
     K_GRID,
+    MIN_N,
+    N_SIZES,
     SEEDS,
+    TEST_SIZE,
     _selected,
     array_sample,
 )
@@ -23,7 +30,9 @@ from tidemark.operators import impute as I
 from tidemark.operators import linear as L
 from tidemark.operators import metrics as M
 from tidemark.operators import models as Z
+from tidemark.operators.design import source_positions
 from tidemark.plans import sweep as S
+from tidemark.session import scratch_path
 
 WEIGHTS = [(i + 1) * 0.5 for i in range(len(views.ARD_FEATURES))]
 
@@ -101,83 +110,121 @@ def linear_sweep(spark, d):
     return scores.join(unseen, [*BY, "k"])
 
 
-def cell(spark, d, y="y", standardized=False, passthrough=False):
-    """Imputed train and test vectors of the largest cell of the first repeat."""
-    rows = views.ard(spark, d).where(F.col(y).isNotNull())
-    rows = I.assemble(rows.select("row_id", y, *views.ARD_FEATURES), views.ARD_FEATURES)
-    split = (D.split_stratified(rows, [11], 0.2, y) if y == "y_bin" else D.split_random(rows, [11], 0.2))
-    by = ["seed"]
-    packed = I.pack_fills(I.fit_fills(split.where("role = 'train'"), by, views.ARD_SOURCES), by)
-    filled = I.apply_fills(split, packed, by, views.ARD_SOURCES, passthrough, n_cells=1)
+@dataclass
+class Cells:
+    """Imputed rows of a design, of which ``rows`` takes one cell's."""
+
+    keys: list[tuple]
+    orders: dict[tuple, list[int]]
+    train: DataFrame
+    test: DataFrame
+    passthrough: bool
+
+    def rows(self, part: DataFrame, cell: tuple) -> DataFrame:
+        """``row_id, label, features`` of a cell, with the features of its first K sources."""
+        seed, draw, n, k = cell
+        positions = source_positions(views.ARD_SOURCES)
+        cols = sorted(p for s in self.orders[seed, draw][:k] for p in positions[s])
+        own = part.where((F.col("seed") == seed) & (F.col("draw") == draw) & (F.col("n") == n))
+        return Z.as_vectors(own.withColumn("x", F.array(*[F.col("x")[p] for p in cols])), "y", passthrough=self.passthrough)
+
+def cells(spark, d, y="y", standardized=False, passthrough=False) -> Cells:
+    """Every (seed, draw, N, K) of the design; fills, means and deviations come from a cell's training rows."""
+    rows = I.assemble(views.ard(spark, d).select("row_id", y, *views.ARD_FEATURES), views.ARD_FEATURES)
+    s = S.sample_rows(rows.withColumnRenamed(y, "y"), "y", SEEDS, DRAWS, TEST_SIZE, N_SIZES, MIN_N, stratified=y == "y_bin")
+    packed = I.pack_fills(I.fit_fills(s.train, BY, views.ARD_SOURCES), BY)
+    train, test = [I.apply_fills(part, packed, BY, views.ARD_SOURCES, passthrough, n_cells=s.n_cells) for part in (s.train, S.test_cells(s))]
     if standardized:
-        filled = I.standardize(filled, by, n_cells=1)
-    vectors = Z.as_vectors(filled, y, keep=["row_id", "role"], passthrough=passthrough).persist(StorageLevel.MEMORY_AND_DISK)
-    return vectors.where("role = 'train'").drop("role"), vectors.where("role = 'test'").drop("role")
-
-
-def scored(fitted, test, name):
-    return fitted.model.transform(test).select("row_id", "label", Z.score_column(name).alias("y_pred"))
-
-
-# Small forests and few rounds: what is checked here is that whole-table fits run.
-TREES = {"trees": 20, "depth": 6}
-ROUNDS = {"rounds": 8}
-
-
-def _fit_query(name, y, params=None, standardized=False):
+        train, test = [I.standardize(part, BY, n_cells=s.n_cells, fitted_on=train) for part in (train, test)]
+    path = scratch_path(spark, "cell-rows")  # read by hundreds of jobs
+    for role, part in (("train", train), ("test", test)):
+        part.select(*BY, "row_id", "y", "x").write.parquet(f"{path}/{role}")
+    s.release()
+    train, test = [spark.read.parquet(f"{path}/{role}") for role in ("train", "test")]
+    pairs = D.repeat_pairs(spark, pairs=[(a, b) for a in s.seeds for b in s.draws])
+    orders = {(r["seed"], r["draw"]): list(r["src_order"]) for r in S.source_orders(pairs, views.ARD_SOURCES).collect()}
+    keys = [(*pair, n, k) for pair in sorted(orders) for n in s.n_grid for k in K_GRID]
+    return Cells(keys, orders, train, test, passthrough)
+
+
+CELL_DDL = "row_id long, y_true double, y_pred double"
+
+
+def cell_predictions(spark, d, name, fitter, y="y", standardized=False, passthrough=False, diagnostics=()):
+    """Test predictions of a model in every cell, written cell by cell, so that few models are held.
+
+    A cell whose fit fails has one row, with its ``error`` and no prediction.
+    """
+    c = cells(spark, d, y, standardized, passthrough)
+    path = scratch_path(spark, "cells")
+
+    def held(train):
+        train = train.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return fitter(train)
+        finally:
+            train.unpersist()
+
+    def put(i, cell, df, fitted, error):
+        found = [F.lit(fitted and fitted.diagnostics[x]).cast("int").alias(x) for x in diagnostics]
+        keys = [F.lit(v).cast("int").alias(k) for k, v in zip([*BY, "k"], cell)]
+        df.select(*keys, "row_id", F.col("y_true").alias("label"), "y_pred", *found, F.lit(error).cast("string").alias("error")).write.mode(
+            "overwrite").parquet(f"{path}/cell={i}")
+
+    fits = Z.fit_cells(c.keys, lambda k: c.rows(c.train, k), lambda k: c.rows(c.test, k), held, name)
+    for i, (cell, fitted, scored, error) in enumerate(fits):
+        if error is None:
+            try:
+                put(i, cell, scored, fitted, None)
+            except Exception as e:  # prediction is lazy and can fail here
+                error = f"{type(e).__name__}: {e}"
+        if error is not None:
+            put(i, cell, spark.createDataFrame([(None, None, None)], CELL_DDL), None, error)
+    return spark.read.parquet(path).drop("cell")
+
+
+def _fit_query(name, y, standardized=False):
     def run(spark, d):
-        train, test = cell(spark, d, y, standardized)
-        return scored(Z.fit(name, train, 3, params), test, name)
+        return cell_predictions(spark, d, name, lambda train: Z.fit(name, train, 3), y, standardized)
 
     return run
 
 
-query("random_forest")(_fit_query("random_forest", "y", TREES))
-query("random_forest_classifier")(_fit_query("random_forest_classifier", "y_bin", TREES))
-query("extra_trees")(_fit_query("extra_trees", "y", TREES))
-query("extra_trees_classifier")(_fit_query("extra_trees_classifier", "y_bin", TREES))
-query("logistic")(_fit_query("ridge_classifier", "y_bin", None, True))
-query("logistic_unpenalized")(_fit_query("ols_classifier", "y_bin", None, True))
-query("logistic_l1")(_fit_query("lasso_classifier", "y_bin", None, True))
-query("mlp_classifier")(_fit_query("neural_net_classifier", "y_bin", {"iterations": 30}, True))
+query("random_forest")(_fit_query("random_forest", "y"))
+query("random_forest_classifier")(_fit_query("random_forest_classifier", "y_bin"))
+query("extra_trees")(_fit_query("extra_trees", "y"))
+query("extra_trees_classifier")(_fit_query("extra_trees_classifier", "y_bin"))
+query("logistic")(_fit_query("ridge_classifier", "y_bin", True))
+query("logistic_unpenalized")(_fit_query("ols_classifier", "y_bin", True))
+query("logistic_l1")(_fit_query("lasso_classifier", "y_bin", True))
+query("mlp_classifier")(_fit_query("neural_net_classifier", "y_bin", True))
 
 
 @query("positive_probability")
 def positive_probability(spark, d):
-    train, test = cell(spark, d, "y_bin", True)
-    fitted = Z.fit("ridge_classifier", train)
-    return fitted.model.transform(test).select("row_id", Z.positive_probability().alias("p"))
+    out = cell_predictions(spark, d, "ridge_classifier", lambda train: Z.fit("ridge_classifier", train), "y_bin", True)
+    return out.select(*BY, "k", "row_id", F.col("y_pred").alias("p"), "error")
 
 
 @query("boosted_cv")
 def boosted_cv(spark, d):
-    train, test = cell(spark, d, passthrough=True)
-    fitted = Z.fit_boosted_cv(train, 3, params=ROUNDS)
-    return scored(fitted, test, "boosted").withColumn("best_rounds", F.lit(fitted.diagnostics["best_rounds"]))
+    return cell_predictions(spark, d, "boosted", lambda train: Z.fit_boosted_cv(train, 3), passthrough=True, diagnostics=["best_rounds"])
 
 
 @query("boosted_early_stop")
 def boosted_early_stop(spark, d):
-    train, test = cell(spark, d, passthrough=True)
-    fitted = Z.fit_boosted_early_stop(train, 3, params={"rounds": 15})
-    return scored(fitted, test, "boosted_leaf").withColumn("best_rounds", F.lit(fitted.diagnostics["best_rounds"]))
-
-
-STACK = {"extra_trees": {"trees": 5, "depth": 4}, "boosted_leaf": {"rounds": 4},
-         "extra_trees_classifier": {"trees": 5, "depth": 4}, "boosted_leaf_classifier": {"rounds": 4},
-         "neural_net_classifier": {"iterations": 5}}
+    return cell_predictions(spark, d, "boosted_leaf", lambda train: Z.fit_boosted_early_stop(train, 3), passthrough=True, diagnostics=["best_rounds"])
 
 
 @query("stacking")
 def stacking(spark, d):
-    train, test = cell(spark, d, standardized=True)
-    return Z.regression_stack(train, 3, 2, STACK).predict(test).select("row_id", "label", F.col("prediction").alias("y_pred"))
+    return cell_predictions(spark, d, "stack", lambda train: Z.Fitted(Z.regression_stack(train, 3)), standardized=True)
 
 
 @query("stacking_classifier")
 def stacking_classifier(spark, d):
-    train, test = cell(spark, d, "y_bin", True)
-    return Z.classification_stack(train, 3, 2, STACK).predict(test).select("row_id", "label", F.col("prediction").alias("score"))
+    out = cell_predictions(spark, d, "stack", lambda train: Z.Fitted(Z.classification_stack(train, 3)), "y_bin", True)
+    return out.withColumnRenamed("y_pred", "score")
 
 
 @query("fit_diagnostics")

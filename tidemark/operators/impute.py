@@ -224,9 +224,12 @@ def constant_prediction(preds: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def standardize(filled: DataFrame, by: Sequence[str], x: str = "x",
-                n_cells: int | None = None, width: int = 1000) -> DataFrame:
-    """Centre and scale every feature by its cell's mean and population deviation."""
-    long = filled.select(*by, F.posexplode(x).alias("pos", "v"))
+                n_cells: int | None = None, width: int = 1000, fitted_on: DataFrame | None = None) -> DataFrame:
+    """Centre and scale every feature by its cell's mean and population deviation.
+
+    These are taken from the rows of ``fitted_on``, where given: a cell's training rows.
+    """
+    long = (filled if fitted_on is None else fitted_on).select(*by, F.posexplode(x).alias("pos", "v"))
     stats = long.groupBy(*by, "pos").agg(
         F.avg("v").alias("m"), F.stddev_pop("v").alias("s"),
         (F.min("v") != F.max("v")).alias("varies"))

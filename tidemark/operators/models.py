@@ -210,6 +210,8 @@ class Stack:
         value = 1 / (1 + F.exp(-total)) if self.classifier else total
         return out.withColumn("prediction", value).drop(*[f"_b{i}" for i in range(len(self.bases))])
 
+    transform = predict
+
 
 def fit_stack(train: DataFrame, bases: dict[str, Fitter], folds: int, classifier: bool, seed: int = 0) -> Stack:
     """Stack on out-of-fold predictions.

@@ -54,13 +54,16 @@ class Sample:
 
 def sample_rows(rows: DataFrame, outcome: str, seeds: Sequence[int], draws: Sequence[int],
                 test_size: float = 0.2, n_sizes: int = 4, min_n: int = 10,
-                n_grid: Sequence[int] | None = None, row_id: str = "row_id") -> Sample:
-    """Split, permute and take nested prefixes. Rows without an outcome are left out."""
+                n_grid: Sequence[int] | None = None, row_id: str = "row_id", stratified: bool = False) -> Sample:
+    """Split, permute and take nested prefixes. Rows without an outcome are left out.
+
+    ``stratified`` keeps the shares of the outcome's classes in the split.
+    """
     observed = rows.where(F.col(outcome).isNotNull())
     if n_grid is None:
         total = observed.count()
         n_grid = size_grid(total - math.ceil(total * test_size), n_sizes, min_n)
-    split = D.split_random(observed, seeds, test_size, row_id)
+    split = D.split_stratified(observed, seeds, test_size, outcome, row_id) if stratified else D.split_random(observed, seeds, test_size, row_id)
     ranked = D.row_ranks(split.where(F.col("role") == "train").drop("role"), draws, row_id,
                          limit=max(n_grid))
     # Ranked rows feed every statistic of every cell; held once, rebuilt if lost.
