@@ -121,3 +121,20 @@ def test_models_by_name(spark, data):
     cells = list(Z.fit_cells([("a",), ("bad",)], lambda c: rows if c[0] == "a" else rows.select("missing"), lambda c: rows,
                              lambda r: Z.fit("ridge", r), "ridge"))
     assert cells[0][3] is None and cells[1][3] is not None
+
+
+@pytest.mark.parametrize("model", ["ols", "ridge", "lasso"])
+def test_columns_far_from_zero(spark, model):
+    rng = np.random.default_rng(8)
+    n, orders = 200, spark.createDataFrame([(1, 0, [0, 1, 2, 3])], "seed long, draw long, src_order array<int>")
+    z = np.round(rng.normal(size=(n, 4)), 3)
+    z[:, 3] = 0
+    y = z @ [3.0, 3.0, -2.0, 0.0] + np.round(rng.normal(size=n), 3)
+    got = []
+    for scale, shift in ((1.0, [0, 0, 0, 0]), ([1e3, 1, 1, 1], [1.7e9, 1e7, 0, 0.1])):
+        pdf = pd.DataFrame({"seed": 1, "draw": 0, "n": n, "row_id": np.arange(n), "rk": np.arange(n) + 1, "y": y, "x": list((z * scale + shift).tolist())})
+        train = L.with_fold(spark.createDataFrame(pdf).repartition(3))
+        got.append(L.fit_linear(train, ["seed", "draw", "n"], SOURCES, orders, [4], [model]).first())
+    near, far = got
+    assert np.array(far["coef"]) * [1e3, 1, 1, 1] == pytest.approx(np.array(near["coef"]), rel=1e-6, abs=1e-9)
+    assert far["coef"][3] == 0 and (model == "ols" or far["alpha"] == pytest.approx(near["alpha"]))

@@ -1,7 +1,8 @@
 """Linear models of every cell from one pass of Gram matrices.
 
 A cell's sufficient statistics are the cross-products of ``[1, x, y]`` per
-cross-validation fold. Tasks sum them over Arrow batches with matrix products;
+cross-validation fold, x and y less the cell's means, so that columns far from
+zero lose no digits. Tasks sum them over Arrow batches with matrix products;
 Spark adds the parts. Fitting then works on p x p numbers, whatever the number
 of rows: one Gram serves every K (its sources come first in the permutation)
 and every linear model.
@@ -27,6 +28,9 @@ LASSO_MAX_ITER = 20_000
 LASSO_TOL = 1e-4
 # Partial matrices a task holds before it hands them on.
 MAX_HELD_CELLS = 64
+EPS = float(np.finfo(float).eps)
+# Share of variance, on standardised columns, below which a direction is taken as dependent.
+DEPENDENT = 1e-13
 
 FIT_DDL = "k int, model string, intercept double, coef array<double>, alpha double, n_iter int, converged boolean"
 
@@ -37,8 +41,17 @@ def with_fold(train: DataFrame, folds: int = CV_FOLDS) -> DataFrame:
     return train.withColumn("fold", contiguous_fold(F.col("rk"), n, F.least(F.lit(folds).cast("bigint"), n)))
 
 
-def gram(train: DataFrame, by: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
-    """Upper triangle of the cross-products of ``[1, x, y]``: ``(by, fold, i, j, v)``."""
+def centres(train: DataFrame, by: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
+    """Mean of every column of ``[x, y]``, exact where the column is constant: ``(by, j, v)``, j from 1."""
+    columns = F.concat(F.col(x), F.array(F.col(y).cast("double")))
+    long = train.select(*by, F.posexplode(columns).alias("pos", "v"))
+    mean = F.greatest(F.min("v"), F.least(F.max("v"), F.avg("v")))
+    return long.groupBy(*by, "pos").agg(mean.alias("v")).select(*by, (F.col("pos") + 1).alias("j"), "v")
+
+
+def gram(train: DataFrame, by: Sequence[str], x: str = "x", y: str = "y",
+         centre: DataFrame | None = None, n_cells: int | None = None, width: int = 1000) -> DataFrame:
+    """Upper triangle of the cross-products of ``[1, x, y]``, less their ``centre``: ``(by, fold, i, j, v)``."""
     by = list(by)
     keys = [*by, "fold"]
 
@@ -55,7 +68,7 @@ def gram(train: DataFrame, by: Sequence[str], x: str = "x", y: str = "y") -> Dat
         for b in batches:
             if b.empty:
                 continue
-            z = np.column_stack([np.ones(len(b)), np.stack(b["x"].to_numpy()), b["y"].to_numpy(dtype=float)])
+            z = np.column_stack([np.ones(len(b)), np.stack(b["z"].to_numpy())])
             for key, rows in b.groupby(keys, sort=False).indices.items():
                 part = z[rows].T @ z[rows]
                 held[key] = held[key] + part if key in held else part
@@ -66,7 +79,11 @@ def gram(train: DataFrame, by: Sequence[str], x: str = "x", y: str = "y") -> Dat
 
     types = dict(train.dtypes)
     ddl = ", ".join([*[f"{k} {types[k]}" for k in keys], "i int, j int, v double"])
-    rows = train.select(*keys, F.col(x).alias("x"), F.col(y).cast("double").alias("y"))
+    rows = train.select(*keys, F.concat(F.col(x), F.array(F.col(y).cast("double"))).alias("z"))
+    if centre is not None:
+        packed = centre.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("_c"))
+        rows = join_cells(rows, packed, by, n_cells, width=2 * width).select(
+            *keys, F.zip_with("z", "_c", lambda a, c: a - c["v"]).alias("z"))
     return rows.mapInPandas(parts, ddl).groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
 
 
@@ -76,12 +93,16 @@ def _centred(g: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray, f
     mean, y_mean = g[0, cols] / n, g[0, -1] / n
     xx = g[np.ix_(cols, cols)] - n * np.outer(mean, mean)
     xy = g[cols, -1] - n * mean * y_mean
+    # A column that is constant in these folds only leaves rounding behind.
+    none = np.diag(xx) <= 16 * EPS * np.diag(g)[cols]
+    xx[none, :] = xx[:, none] = 0.0
+    xy[none] = 0.0
     return xx, xy, n, y_mean, mean, g[-1, -1] - n * y_mean * y_mean
 
 
 def least_squares(xx: np.ndarray, xy: np.ndarray) -> np.ndarray:
     """Minimum-norm solution of the normal equations."""
-    return np.linalg.pinv(xx, rcond=1e-10, hermitian=True) @ xy
+    return np.linalg.pinv(xx, rcond=DEPENDENT, hermitian=True) @ xy
 
 
 def ridge_path(xx: np.ndarray, xy: np.ndarray, alphas: np.ndarray) -> np.ndarray:
@@ -101,7 +122,7 @@ def lasso_path(xx: np.ndarray, xy: np.ndarray, n: float, alphas: np.ndarray) ->
         for it in range(1, LASSO_MAX_ITER + 1):
             moved = 0.0
             for j in range(p):
-                if diag[j] <= 1e-12:
+                if diag[j] <= 0.0:
                     continue
                 rho = grad[j] + diag[j] * b[j]
                 new = np.sign(rho) * max(abs(rho) - n * alphas[a], 0.0) / diag[j]
@@ -132,13 +153,18 @@ def _scaled(g: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
     return t.T @ g @ t
 
 
-def fit_cell(folds: dict[int, np.ndarray], cols: np.ndarray, model: str) -> tuple[float, np.ndarray, float, int, bool]:
-    """Fit one model on the chosen columns: (intercept, coef, alpha, iterations, converged)."""
+def fit_cell(folds: dict[int, np.ndarray], cols: np.ndarray, model: str,
+             centre: np.ndarray | None = None) -> tuple[float, np.ndarray, float, int, bool]:
+    """Fit one model on the chosen columns: (intercept, coef, alpha, iterations, converged).
+
+    ``centre`` is what was taken from the columns of ``[x, y]`` before the products.
+    A column is constant if nothing is left of it.
+    """
     total = sum(folds.values())
     n = total[0, 0]
     mean = total[0, 1:-1] / n
     var = np.diag(total)[1:-1] / n - mean * mean
-    tiny = 1e-12 * np.maximum(np.diag(total)[1:-1] / n, 1e-300)
+    tiny = 16 * EPS * np.diag(total)[1:-1] / n
     sd = np.where(var > tiny, np.sqrt(np.maximum(var, 0)), 1.0)
     parts = {f: _scaled(g, mean, sd) for f, g in folds.items()}
     whole = sum(parts.values())
@@ -149,7 +175,8 @@ def fit_cell(folds: dict[int, np.ndarray], cols: np.ndarray, model: str) -> tupl
     else:
         alphas = RIDGE_ALPHAS if model == "ridge" else LASSO_ALPHAS
         errors = np.zeros((len(parts), len(alphas)))
-        rests = [_centred(whole - part, cols) for part in parts.values()]
+        # Added up, not subtracted: a fold with an outlier would take the others' digits along.
+        rests = [_centred(sum((p for g, p in parts.items() if g != f), np.zeros_like(whole)), cols) for f in parts]
         if model == "ridge":
             paths = [ridge_path(r[0], r[1], alphas) for r in rests]
         else:
@@ -169,12 +196,14 @@ def fit_cell(folds: dict[int, np.ndarray], cols: np.ndarray, model: str) -> tupl
     coef = np.zeros(total.shape[0] - 2)
     coef[cols - 1] = b / sd[cols - 1]
     intercept = y_mean - x_mean @ b - float(np.dot(coef, mean))
+    if centre is not None:
+        intercept += centre[-1] - float(np.dot(coef, centre[:-1]))
     return float(intercept), coef, alpha, iters, converged
 
 
 def fit_linear(train: DataFrame, by: Sequence[str], sources: Sequence[Source], orders: DataFrame,
                k_grid: Sequence[int], models: Sequence[str] = ("ols", "ridge", "lasso"),
-               x: str = "x", y: str = "y") -> DataFrame:
+               x: str = "x", y: str = "y", n_cells: int | None = None) -> DataFrame:
     """Coefficients for every (cell, K, model).
 
     ``train`` holds imputed rows with a ``fold``; ``orders`` one row per
@@ -186,8 +215,11 @@ def fit_linear(train: DataFrame, by: Sequence[str], sources: Sequence[Source], o
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         size = int(pdf["j"].max()) + 1
+        off = pdf["fold"] == -1
+        centre = np.zeros(size - 1)
+        centre[pdf["j"][off] - 1] = pdf["v"][off]
         grams: dict[int, np.ndarray] = {}
-        for fold, rows in pdf.groupby("fold"):
+        for fold, rows in pdf[~off].groupby("fold"):
             g = np.zeros((size, size))
             g[rows["i"], rows["j"]] = rows["v"]
             grams[int(fold)] = g + np.triu(g, 1).T
@@ -196,13 +228,17 @@ def fit_linear(train: DataFrame, by: Sequence[str], sources: Sequence[Source], o
         for k in ks:
             cols = np.array(sorted(p + 1 for s in order[:k] for p in positions[s]))
             for m in names:
-                out.append((k, m, *fit_cell(grams, cols, m)))
+                out.append((k, m, *fit_cell(grams, cols, m, centre)))
         res = pd.DataFrame(out, columns=["k", "model", "intercept", "coef", "alpha", "n_iter", "converged"])
         for c in by:
             res[c] = pdf[c].iloc[0]
         return res[[*by, "k", "model", "intercept", "coef", "alpha", "n_iter", "converged"]]
 
-    stats = gram(train, by, x, y).join(orders, [c for c in by if c in orders.columns])
+    centre = centres(train, by, x, y)
+    fold = dict(train.dtypes)["fold"]
+    products = gram(train, by, x, y, centre, n_cells, sum(len(p) for p in positions) + 1)
+    shifts = centre.select(*by, F.lit(-1).cast(fold).alias("fold"), F.lit(0).alias("i"), "j", "v")
+    stats = products.unionByName(shifts).join(orders, [c for c in by if c in orders.columns])
     types = dict(train.dtypes)
     ddl = ", ".join([*[f"{c} {types[c]}" for c in by], FIT_DDL])
     return stats.groupBy(*by).applyInPandas(solve, ddl)

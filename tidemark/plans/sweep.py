@@ -15,6 +15,7 @@ from tidemark.operators import design as D
 from tidemark.operators import impute as I
 from tidemark.operators import linear as L
 from tidemark.operators import metrics as M
+from tidemark.session import scratch_path
 
 BY = ["seed", "draw", "n"]
 
@@ -146,11 +147,14 @@ def linear_sweep(sample: Sample, sources: Sequence[D.Source], k_grid: Sequence[i
     """Impute, fit and predict every (model, seed, draw, N, K) cell in one plan."""
     spark = sample.train.sparkSession
     fills = I.fit_fills(sample.train, BY, sources)
-    packed = I.pack_fills(fills, BY)
+    # Read by the means, the products and the predictions; as a table its long plan is not repeated in each.
+    path = scratch_path(spark, "fills")
+    I.pack_fills(fills, BY).write.parquet(path)
+    packed = spark.read.parquet(path)
     train = I.apply_fills(L.with_fold(sample.train), packed, BY, sources, n_cells=sample.n_cells)
     test = I.apply_fills(test_cells(sample), packed, BY, sources, n_cells=sample.n_cells)
     pairs = D.repeat_pairs(spark, pairs=[(s, d) for s in sample.seeds for d in sample.draws])
-    fits = L.fit_linear(train, BY, sources, source_orders(pairs, sources), k_grid, models, y=y)
+    fits = L.fit_linear(train, BY, sources, source_orders(pairs, sources), k_grid, models, y=y, n_cells=sample.n_cells)
     preds = L.predict_linear(test, fits, BY, sample.n_cells, ["row_id", y],
                              width=sum(len(x.features) for x in sources) * len(k_grid) * len(models)).withColumnRenamed(y, "y_true")
     means = sample.train.groupBy(*BY).agg(F.avg(y).alias("train_mean"))
