@@ -60,3 +60,21 @@ def test_pruned_edges_are_diverse():
     points = np.array([[0, 0], [1, 0], [1.1, 0], [0, 2], [5, 5]], np.float32)
     kept = vamana.prune(points, np.array([0]), np.array([[1, 2, 3, 4, 0, -1, 1]]), 4, 1.2)[0]
     assert kept.tolist() == [1, 3, -1, -1]
+
+
+def test_one_vector_far_larger_than_the_rest(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(1500)]
+    rows[7] = (7, [1e9 * x for x in rows[7][1]])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows, 20, 100)
+    got = answers(ann.search_table(df, every=100))
+    hits = sum(len({j for j, _ in want[q]} & {j for j, _ in got[q]}) for q in want)
+    assert set(got) == set(want) and hits / (20 * len(want)) >= 0.95
+
+
+def test_close_points_far_from_zero_are_pruned_alike():
+    points = np.array([[0, 0], [1, 0], [1.1, 0], [0, 2], [5, 5]])
+    far = (points * 2.0**-12 + 1.0).astype(np.float32)
+    kept = vamana.prune(far, np.array([0]), np.array([[1, 2, 3, 4, 0, -1, 1]]), 4, 1.2)[0]
+    assert kept.tolist() == [1, 3, -1, -1]

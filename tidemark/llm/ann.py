@@ -1,7 +1,8 @@
 """Nearest neighbours by inner product: a pruned graph per shard, searched by beams.
 
-Rows are dealt to shards by their ids, so copies of a vector spread evenly; inside
-a shard equal vectors are one node. The graphs are a written table. Queries meet
+Rows are dealt to shards by the size of their largest component and by their ids, so
+copies of a vector spread evenly and norms in a shard are alike, as 32-bit points
+need; inside a shard equal vectors are one node. The graphs are a written table. Queries meet
 every shard in blocks of bounded size, each shard returns its best in exact double
 precision, and the best of all shards are ranked.
 """
@@ -23,6 +24,8 @@ from tidemark.llm.tables import stored
 SHARD_ROWS, LEAST_SHARDS = 50_000, 8
 QUERY_BLOCK = 4096
 BEAM = 96
+#: Largest components in a shard differ by less than this power of two.
+CLASS_BITS = 4
 
 
 def usable(vector: Column) -> Column:
@@ -69,8 +72,9 @@ def _best(q_ids: np.ndarray, q: np.ndarray, row: dict, k: int, beam: int) -> Ite
     edges = np.frombuffer(row["edges"], np.int32).reshape(row["n"], -1)
     ids, id_at = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["id_at"], np.int64)
     points = vamana.lift(v)
-    size = np.sqrt(np.einsum("ij,ij->i", q, q))
-    asked = np.concatenate([q / size[:, None], np.zeros((len(q), 1))], axis=1).astype(np.float32)
+    unit = q / np.abs(q).max(axis=1, keepdims=True)
+    size = np.sqrt(np.einsum("ij,ij->i", unit, unit))
+    asked = np.concatenate([unit / size[:, None], np.zeros((len(q), 1))], axis=1).astype(np.float32)
     for s in range(0, len(q), vamana.BATCH):
         found, _ = vamana.search(points, edges, row["start"], asked[s : s + vamana.BATCH], max(beam, 2 * k))
         for i, nodes in enumerate(found, start=s):
@@ -92,15 +96,23 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, shard
     ties to the smaller id. A row with the query's own id is no candidate; a vector
     of another length is none either. Rows that repeat in id and vector count once.
     """
-    total = rows.count()
-    n_shards = max(LEAST_SHARDS, -(-total // shard_rows))
-    once = rows.dropDuplicates(["vec_id", "v"]).select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).alias("shard"))
+    largest = F.array_max(F.transform("v", F.abs))
+    sized = rows.withColumn("size", F.floor(F.log2(largest) / CLASS_BITS).cast("int"))
+    # A row per size class: some 520 at most, the range of doubles.
+    counts = sorted((r["size"], r["count"]) for r in sized.groupBy("size").count().collect())
+    total, n_shards, deals = sum(c for _, c in counts), 0, []
+    for size, c in counts:
+        n = max(-(-LEAST_SHARDS * c // total), -(-c // shard_rows))
+        deals.append((size, n_shards, n))
+        n_shards += n
+    deal = F.broadcast(rows.sparkSession.createDataFrame(deals, "size int, first long, parts long"))
+    once = sized.dropDuplicates(["vec_id", "v"]).join(deal, "size").select("vec_id", "v", F.size("v").alias("dim"), (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).alias("shard"))
     shards = index(once, k + 1)
     asked = queries.dropDuplicates(["vec_id", "v"])
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = asked.select("vec_id", "v", F.size("v").alias("dim"), F.xxhash64("v").alias("qx"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_blocks)).alias("block"))
     parts = ["vectors", "edges", "ids", "id_at"]
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n, 1) - 1).cast("long")))
     left = asked.withColumn("shard", every(n_shards)).select(F.xxhash64("dim", "shard", "block").alias("g"), F.lit(1).alias("kind"), "vec_id", "qx", "v", F.lit(0).alias("start"), F.lit(0).alias("n"), *[F.lit(None).cast("binary").alias(p) for p in parts])
     right = shards.withColumn("block", every(n_blocks)).select(F.xxhash64("dim", "shard", "block").alias("g"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("long").alias("qx"), F.lit(None).cast("array<double>").alias("v"), "start", "n", *parts)
     together = left.unionByName(right).repartition("g").sortWithinPartitions("g", "kind", "vec_id")

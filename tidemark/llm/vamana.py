@@ -26,6 +26,7 @@ class Graph:
 
 def lift(vectors: np.ndarray) -> np.ndarray:
     """Unit of scale taken out, and a component that makes all norms equal."""
+    vectors = vectors / max(np.abs(vectors).max(initial=0.0), np.finfo(float).tiny)
     norms = np.einsum("ij,ij->i", vectors, vectors)
     most = norms.max() if len(norms) else 1.0
     extra = np.sqrt(np.maximum(0, most - norms))
@@ -73,8 +74,6 @@ def prune(points: np.ndarray, of: np.ndarray, found: np.ndarray, degree: int, al
     same[:, 1:] = (found[:, 1:] == found[:, :-1]) & (found[:, 1:] >= 0)
     d[same] = np.inf
     p = points[found]
-    norm = np.einsum("qcd,qcd->qc", p, p)
-    between = np.maximum(0, norm[:, :, None] + norm[:, None, :] - 2 * np.einsum("qcd,qed->qce", p, p, optimize=True))
     alive = np.isfinite(d)
     out = np.full((len(of), degree), -1, np.int32)
     rows = np.arange(len(of))
@@ -84,7 +83,8 @@ def prune(points: np.ndarray, of: np.ndarray, found: np.ndarray, degree: int, al
         if not has.any():
             break
         out[has, k] = found[rows[has], pick[has]]
-        alive &= ~(has[:, None] & (alpha * alpha * between[rows, pick] <= d))
+        gap = p - p[rows, pick][:, None, :]  # of differences: close points keep their digits
+        alive &= ~(has[:, None] & (alpha * alpha * np.einsum("qcd,qcd->qc", gap, gap) <= d))
         alive[rows, pick] = False
     return out
 
