@@ -97,3 +97,9 @@ def test_components_of_chains_and_stars(spark):
 
 def test_empty_table(spark):
     assert near_dup.near_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_estimate_rarely_discards_a_pair_at_the_limit():
+    n, p = near_dup.BANDS * near_dup.ROWS, near_dup.SIMILARITY
+    lost = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1) if i / n < p - near_dup.MARGIN - 1e-9)
+    assert lost < 1e-5

@@ -31,8 +31,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Pairs at the limit share none of 32 bands of 5 registers with probability 3e-6.
 BANDS, ROWS = 32, 5
-#: Three standard deviations of the estimate from 160 registers at the limit.
-MARGIN = 0.1
+#: The estimate from 160 registers discards a pair at the limit with probability 3e-6.
+MARGIN = 0.15
 BLOCK = 512
 
 
