@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, mixing, near_dup, packing, quality, repetition, sharding, substring, token_counts, url_filter
+from tidemark.llm import (
+    ann,
+    filter_audit,
+    line_dedup,
+    mixing,
+    near_dup,
+    packing,
+    prefix_trie,
+    quality,
+    repetition,
+    sharding,
+    substring,
+    token_counts,
+    url_filter,
+)
 from tidemark.llm.tables import table
 
 #: Place of the public vocabularies on every machine; a parameter of the operators.
@@ -193,3 +207,87 @@ SELECT doc_id, size, source_size, target,
 FROM x""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+WORDS = "coalesce(len(regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')), 0)"
+
+
+@query("op11_filter_audit", f"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+m AS (
+  SELECT part, coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic,
+    CASE WHEN {WORDS.format('text')} < 100 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))) < 80 * {WORDS.format('text')} THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN min(doc_id) OVER (PARTITION BY text) < doc_id THEN 16 ELSE 0 END AS mask
+  FROM t LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good::INT) AS good, sum(toxic::INT) AS toxic FROM m GROUP BY ALL),
+o(filter_order, used) AS (
+  SELECT '', 0 UNION ALL
+  SELECT filter_order || chr(65 + k::INT), used | (1 << k::INT) FROM o, range(0, 5) AS r(k) WHERE used & (1 << k::INT) = 0),
+s AS (
+  SELECT filter_order, step::INT AS step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+    list_sum([1 << (ascii(x) - 65) FOR x IN string_split(filter_order[:step], '')])::INT AS after
+  FROM o, range(1, 6) AS q(step) WHERE used = 31),
+x AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN mask & after = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mask & after = bit THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & bit > 0 AND mask & after <> bit THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & after = bit THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mask & after = bit THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM x""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_line_dedup", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
+k AS (SELECT *, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{line_dedup.UPPER}', '{line_dedup.LOWER}') AS key FROM l),
+f AS (SELECT *, length(key) >= 10 AND min(doc_id) OVER (PARTITION BY key) < doc_id AS gone FROM k)
+SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM f GROUP BY r, doc_id""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 of an ASCII text, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split({}, '')]),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, i: xor(s >> 1, CASE WHEN s & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+
+@query("op13_prefix_trie", f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {CRC32.format('conv_id::VARCHAR')} % 4 AS h FROM t GROUP BY 1),
+r AS (
+  SELECT c.conv_id, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND i <= h
+  UNION ALL SELECT c.conv_id, i, role, text FROM c JOIN t USING (conv_id) WHERE i > h),
+s AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS depth, {WORDS.format('text')} AS words,
+    sha256(length(role) || ':' || role || text) AS key FROM r),
+p AS (
+  SELECT conv_id, depth, words, string_agg(key, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM s
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+z AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p),
+n AS (
+  SELECT path, any_value(depth) AS depth, any_value(words) AS words, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM z GROUP BY path),
+k AS (SELECT left(path, -64) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+u AS (
+  SELECT p.path, sum((b.n_convs - 1) * b.words) AS saved, sum(CASE WHEN k.path IS NULL THEN 1 ELSE 0 END) AS leaves
+  FROM n b JOIN p ON p.conv_id = b.conv_id AND p.depth <= b.depth LEFT JOIN k ON k.path = b.path GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, o.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+  leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN u USING (path) LEFT JOIN k USING (path) LEFT JOIN n o ON n.depth > 0 AND o.path = left(n.path, -64)""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
