@@ -1,5 +1,6 @@
 """Packing and token counts against the tokenizer's library."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -36,12 +37,33 @@ def test_counts_are_the_library_s(spark):
         assert got[i].over_limit == (len(ids) > 2048)
 
 
-def test_states_can_be_forgotten():
-    small, whole = token_counts.Transducer(TOKENIZER, max_states=50), token_counts.transducer(TOKENIZER)
+def test_states_and_words_can_be_forgotten():
+    whole = token_counts.transducer(TOKENIZER)
     texts = [t or "" for t in ODD]
-    for _ in range(2):
-        assert (small.count(texts) == whole.count(texts)).all()
-        assert (small.encode(texts)[0] == whole.encode(texts)[0]).all()
+    for small in (token_counts.Transducer(TOKENIZER, max_states=50), token_counts.Transducer(TOKENIZER, max_words=20)):
+        for part in (texts, texts[::-1], texts[5:9], texts):
+            assert (small.count(part) == whole.count(part)).all()
+            assert (small.encode(part)[0] == whole.encode(part)[0]).all()
+
+
+def test_maps_of_chunks_are_composed():
+    rng = random.Random(6)
+    texts = ["a" * n for n in (255, 256, 257, 512, 513, 5000)] + ["é" * 700, "日本" * 900, "ab" * 400 + "c" * 400]
+    texts += ["".join(rng.choices("abcdeé", k=rng.randrange(250, 4000))) for _ in range(40)]
+    machine = token_counts.Transducer(TOKENIZER)
+    ids, bounds = machine.encode(texts)
+    for k, want in enumerate(encode(texts)):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == want
+
+
+def test_pre_tokens_of_one_hash(monkeypatch):
+    monkeypatch.setattr(token_counts, "span_hash", lambda raw, start, end: (end - start).astype(np.uint64))
+    texts = ["the cat has one hat", "a dog and the cow", "cat dog hat the one two"]
+    machine = token_counts.Transducer(TOKENIZER)
+    for part in (texts, texts[::-1]):
+        ids, bounds = machine.encode(part)
+        for k, want in enumerate(encode(part)):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == want
 
 
 def test_every_id_lies_in_one_piece(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ from tidemark.llm import (
 )
 from tidemark.llm.tables import table
 
-#: Place of the public vocabularies on every machine; a parameter of the operators.
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+#: Place of the public vocabulary on every machine; a parameter of the operators.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

@@ -10,11 +10,12 @@ finite in number. A transition on a byte is annotated with the tokens that the n
 prefix has more than the old one (fewer, if negative), so the sum along a word is
 its number of tokens; the last byte of a word leads back to the start state.
 
-States and transitions are compiled when first met, into one flat table. Texts are
-cut into chunks which run side by side. Every chunk first runs from the start state;
-that run stands for the chunk's map of states. Composing it with the state that
-arrives from the left means running again only until both runs are in one state,
-and scan rounds repeat this until no arriving state changes.
+States and transitions are compiled when first met, into one flat table. Every
+distinct pre-token of a slice of texts runs once, all of them side by side, a byte a
+step. Pre-tokens longer than ``CHUNK`` bytes are cut into chunks. A chunk is a map of
+states, with the tokens it emits: from each state that may arrive it is followed to
+the state that it leaves. These maps are composed pairwise along a pre-token, in a
+parallel prefix scan, which gives every chunk's arriving state and the counts.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.pretokens import WORD_END, Cut, byte_chars, read_model
-from tidemark.llm.text import held, slices, totals, utf8
+from tidemark.llm.text import _BYTE, held, slices, span_hash, totals, utf8
 
 END = 256
 _ZERO = 128  # weights are kept as bytes above this offset
 CHUNK = 256
-MAX_STATES = 56_000  # about 75 MB with the table; beyond it the half that is met most stays
+MAX_STATES = 40_000  # about 55 MB with the table; beyond it the half that is met most stays
 MAX_PAIRS = 1 << 18
+MAX_WORDS = 1 << 19  # pre-tokens whose ids are kept, some 25 MB
 
 
 class Merges:
@@ -83,10 +85,64 @@ class Merges:
         return known
 
 
+class Store:
+    """Pre-tokens that have run, in order of their hashes, with their bytes and ids.
+
+    Bounded: above ``most`` the half that is met most often stays.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        # Row 0 is the empty pre-token, which no text has.
+        self.hash = np.zeros(1, np.uint64)
+        self.at, self.size, self.id_at, self.n_ids, self.met = (np.zeros(1, np.int32) for _ in range(5))
+        self.raw, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.int32)
+
+    def find(self, hashes: np.ndarray, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Row of each pre-token ``raw[start:start + size]``, -1 for those not held. Bytes decide, not hashes."""
+        row = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        good = (self.hash[row] == hashes) & (self.size[row] == size)
+        maybe = np.flatnonzero(good)
+        off = np.concatenate([[0], np.cumsum(size[maybe])])
+        here = np.arange(off[-1])
+        apart = raw[np.repeat(start[maybe] - off[:-1], size[maybe]) + here] != self.raw[np.repeat(self.at[row[maybe]] - off[:-1], size[maybe]) + here]
+        good[maybe[np.searchsorted(off, np.flatnonzero(apart), "right") - 1]] = False
+        return np.where(good, row, -1)
+
+    def add(self, hashes: np.ndarray, raw: np.ndarray, size: np.ndarray, ids: np.ndarray, n_ids: np.ndarray) -> None:
+        """Add pre-tokens that lie one after another in ``raw``, their ids in ``ids``."""
+        order = np.argsort(hashes, kind="stable")
+        place = np.searchsorted(self.hash, hashes[order])
+        ends, id_ends = np.cumsum(size), np.cumsum(n_ids)
+        self.hash = np.insert(self.hash, place, hashes[order])
+        for name, values in (("at", len(self.raw) + ends - size), ("size", size), ("id_at", len(self.ids) + id_ends - n_ids), ("n_ids", n_ids), ("met", np.zeros_like(size))):
+            setattr(self, name, np.insert(getattr(self, name), place, values[order].astype(np.int32)))
+        self.raw, self.ids = np.concatenate([self.raw, raw]), np.concatenate([self.ids, ids.astype(np.int32)])
+
+    def trim(self) -> None:
+        """Forget what is met least, if too much is held. Rows found before lose their meaning."""
+        if max(len(self.hash), len(self.raw) // 8, len(self.ids) // 4) <= self.most:
+            return
+        few = np.argsort(-self.met, kind="stable")
+        few = few[: max(1, min(self.most // 2, int(np.searchsorted(np.cumsum(self.size[few]), 4 * self.most)), int(np.searchsorted(np.cumsum(self.n_ids[few]), 2 * self.most))))]
+        keep = np.sort(few)
+        self.raw, self.at = gathered(self.raw, self.at[keep], self.size[keep])
+        self.ids, self.id_at = gathered(self.ids, self.id_at[keep], self.n_ids[keep])
+        self.hash, self.size, self.n_ids, self.met = self.hash[keep], self.size[keep], self.n_ids[keep], self.met[keep] // 2
+
+
+def gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``values[start:start + size]`` of all spans in a row, and where each begins."""
+    ends = np.cumsum(size)
+    at = ends - size
+    return values[np.repeat(start - at, size) + np.arange(ends[-1] if len(ends) else 0)], at
+
+
 class Transducer:
-    def __init__(self, path: str, max_states: int = MAX_STATES):
+    def __init__(self, path: str, max_states: int = MAX_STATES, max_words: int = MAX_WORDS):
         self.merges = m = Merges(path)
         self.max_states = max_states
+        self.store = Store(max_words)
         self.child: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
         for i, s in m.text.items():
@@ -190,81 +246,177 @@ class Transducer:
             out = self.table.ravel()[state * self.table.shape[1] + columns]
         return out
 
-    def run(self, raw: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weight of every byte, and the state after it or, at the end of a word, its last token.
+    def follow(self, columns: np.ndarray, start: np.ndarray, size: np.ndarray, state: np.ndarray,
+               path: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Run ``columns[start:start + size]`` from ``state``, many side by side: last state and summed weight of each.
 
-        The sum of the weights along a pre-token is its number of tokens.
+        ``path`` takes the state after every byte or, at the end of a pre-token, its last token.
+        """
+        order = np.argsort(-size, kind="stable")
+        start, state, going = start[order], state[order].astype(np.int64), -size[order]
+        total = np.zeros(len(order), np.int64)
+        for t in range(int(-going[0]) if len(going) else 0):
+            n = int(np.searchsorted(going, -t, "left"))
+            at = start[:n] + t
+            packed = self.step(state[:n], columns[at])
+            to, add = packed >> 8, (packed & 255) - _ZERO
+            total[:n] += add
+            state[:n] = to
+            if path is not None:
+                path[at] = to
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return state[back], total[back]
+
+    def run(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pre-tokens ``raw[start:start + size]``, which lie one after another, and their numbers.
+
+        They are read off backwards: a pre-token's last token ends it, and the state
+        before a token names the one that precedes it.
         """
         if len(self.states) > self.max_states:
             self.shrink()
-        n = len(raw)
-        lanes = max(1, -(-n // CHUNK))
-        columns, going = np.zeros(lanes * CHUNK, np.int32), np.ones(lanes * CHUNK, np.int8)
-        columns[:n] = self.columns(raw + (last * np.int16(256)))
-        going[:n] = ~last
-        grid = np.ascontiguousarray(columns.reshape(lanes, CHUNK).T)
-        going = np.ascontiguousarray(going.reshape(lanes, CHUNK).T)
-        weight, path = np.empty((CHUNK, lanes), np.int8), np.empty((CHUNK, lanes), np.int32)
-        state = np.zeros(lanes, np.int64)
-        for t in range(CHUNK):
-            packed = self.step(state, grid[t])
-            path[t] = packed >> 8
-            weight[t] = (packed & 255) - _ZERO
-            state = (path[t] * going[t]).astype(np.int64)
-        arrives = np.zeros(lanes, np.int64)  # what every chunk's run began with
-        while True:
-            now = np.concatenate([[0], path[-1, :-1] * going[-1, :-1]]).astype(np.int64)
-            lane = np.flatnonzero(now != arrives)
-            if not len(lane):
-                met = np.bincount(path[going == 1], minlength=len(self.visits))
-                met[: len(self.visits)] += self.visits
-                self.visits = met
-                return weight.T.ravel()[:n], path.T.ravel()[:n]
-            arrives = now
-            state = now[lane]
-            for t in range(CHUNK):
-                packed = self.step(state, grid[t, lane])
-                was = path[t, lane] * going[t, lane]
-                path[t, lane] = packed >> 8
-                weight[t, lane] = (packed & 255) - _ZERO
-                state = (path[t, lane] * going[t, lane]).astype(np.int64)
-                apart = was != state
-                lane, state = lane[apart], state[apart]
-                if not len(lane):
-                    break
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and the offsets of each text's.
-
-        The tokens of a word are read off backwards: its last token ends the word,
-        and the state before a token names the one that precedes it.
-        """
-        cut = Cut(texts, self.merges.specials)
-        weight, path = self.run(cut.raw, cut.last)
-        before = np.zeros(len(weight) + 1, np.int64)
-        np.cumsum(weight, out=before[1:])
-        at = np.flatnonzero(cut.last)
-        out = before[at + 1] - 1
-        left = np.diff(before[np.concatenate([[0], at + 1])]) if len(at) else out
-        ids = np.empty(before[-1], np.int64)
-        last_of = np.asarray(self.last, np.int64)
+        end = start + size
+        last = np.zeros(len(raw), bool)
+        last[end - 1] = True
+        columns = self.columns(raw + (last * np.int16(256)))
+        path = np.empty(len(raw), np.int32)
+        short = size <= CHUNK
+        n_ids = np.empty(len(start), np.int64)
+        n_ids[short] = self.follow(columns, start[short], size[short], np.zeros(int(short.sum()), np.int64), path)[1]
+        if not short.all():
+            n_ids[~short] = self.scan(columns, start[~short], end[~short], path)
+        met = np.bincount(path[~last], minlength=len(self.visits))
+        met[: len(self.visits)] += self.visits
+        self.visits = met
+        ids, last_of = np.empty(int(n_ids.sum()), np.int32), np.asarray(self.last, np.int64)
+        at, out, left = end - 1, np.cumsum(n_ids) - 1, n_ids
         token = path[at].astype(np.int64)
         while len(at):
             ids[out] = token
-            at, out, left = at - self.length[token], out - 1, left - 1
-            more = left > 0
-            at, out, left = at[more], out[more], left[more]
+            more = left > 1
+            at, out, left = (at - self.length[token])[more], out[more] - 1, left[more] - 1
             token = last_of[path[at]]
-        bounds = before[cut.bounds]
+        return ids, n_ids
+
+    def scan(self, columns: np.ndarray, start: np.ndarray, end: np.ndarray, path: np.ndarray) -> np.ndarray:
+        """Numbers of tokens of long pre-tokens, from the composed maps of their chunks."""
+        lanes = -(-(end - start) // CHUNK)
+        off = np.concatenate([[0], np.cumsum(lanes)])
+        place = np.arange(off[-1]) - np.repeat(off[:-1], lanes)  # of a chunk in its pre-token
+        at = np.repeat(start, lanes) + place * CHUNK
+        size = np.minimum(np.repeat(end, lanes) - at, CHUNK)
+        # Chunks of one content have one map, with a row for each state that may arrive.
+        texts = np.zeros((len(at), CHUNK + 1), np.int32)
+        inside = np.arange(CHUNK) < size[:, None]
+        texts[:, 1:][inside] = columns[(at[:, None] + np.arange(CHUNK))[inside]]
+        texts[:, 0] = size
+        _, one, content = np.unique(texts, axis=0, return_index=True, return_inverse=True)
+        content = content.ravel()
+        later = np.flatnonzero(place > 0)
+        links = np.unique(np.stack([content[later - 1], content[later]]), axis=1)
+        arriving = np.stack([np.arange(len(one)), np.zeros(len(one), np.int64)])  # content and state; any may be entered at the start
+        left, emitted = self.follow(columns, at[one], size[one], arriving[1])
+        while True:
+            known = {pair: k for k, pair in enumerate(zip(*arriving.tolist()))}
+            heads: dict[int, list[int]] = {}
+            for k, c in enumerate(arriving[0].tolist()):
+                heads.setdefault(c, []).append(k)
+            wanted = {(b, int(left[k])) for a, b in links.T.tolist() for k in heads[a]}
+            new = np.array(sorted(wanted - known.keys()), np.int64).reshape(-1, 2).T
+            if not new.size:
+                break
+            more, more_emitted = self.follow(columns, at[one][new[0]], size[one][new[0]], new[1])
+            arriving, left, emitted = np.concatenate([arriving, new], axis=1), np.concatenate([left, more]), np.concatenate([emitted, more_emitted])
+        # Row k of a chunk leads to row ``to[k]`` of the next: rows are numbered over all contents.
+        rows = [np.array(heads[c]) for c in range(len(one))]
+        widest = max(map(len, rows))
+        table, counts, rank = np.zeros((len(at), widest), np.int64), np.zeros((len(at), widest), np.int64), {}
+        for c, own in enumerate(rows):
+            for j, k in enumerate(own.tolist()):
+                rank[k] = j
+        following = np.append(content[1:], -1)
+        for lane in range(len(at)):
+            own, c = rows[content[lane]], int(following[lane])
+            counts[lane, : len(own)] = emitted[own]
+            if lane + 1 < len(at) and place[lane + 1]:
+                table[lane, : len(own)] = [rank[known[c, int(left[k])]] for k in own.tolist()]
+        first = np.array([rank[known[int(c), 0]] for c in content])
+        step = 1
+        while step < lanes.max():
+            reach = np.flatnonzero(place >= step)
+            through = table[reach - step]
+            new_counts = counts[reach - step] + np.take_along_axis(counts[reach], through, axis=1)
+            new_table = np.take_along_axis(table[reach], through, axis=1)
+            table[reach], counts[reach] = new_table, new_counts
+            step *= 2
+        entry = first[off[:-1]]
+        came = np.zeros(len(at), np.int64)
+        came[later] = [arriving[1][rows[content[lane]][table[lane - 1, e]]] for lane, e in zip(later.tolist(), np.repeat(entry, lanes)[later].tolist())]
+        self.follow(columns, at, size, came, path)
+        return counts[off[1:] - 1, entry]
+
+    def ids_of(self, cut: Cut) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of every pre-token of ``cut`` begin in ``store.ids``, and their numbers.
+
+        Each distinct pre-token is looked up once, and runs once if it is not held.
+        """
+        self.store.trim()
+        end = np.flatnonzero(cut.last) + 1
+        start = np.concatenate([[0], end[:-1]]).astype(np.int64) if len(end) else end
+        size, hashes = end - start, span_hash(_BYTE[cut.raw], start, end)
+        while True:
+            hashes, of, which = np.unique(hashes, return_index=True, return_inverse=True)
+            odd = unlike(cut.raw, start, size, of[which])
+            if not len(odd):
+                break
+            hashes = hashes[which]
+            hashes[odd] += np.uint64(1)  # its hash is taken by other bytes
+        row = self.store.find(hashes, cut.raw, start[of], size[of])
+        new = np.flatnonzero(row < 0)
+        id_at, n_ids = self.store.id_at[row], self.store.n_ids[row]
+        if len(new):
+            raw, at = gathered(cut.raw, start[of[new]], size[of[new]])
+            ids, n_ids[new] = self.run(raw, at, size[of[new]])
+            id_at[new] = len(self.store.ids) + np.cumsum(n_ids[new]) - n_ids[new]
+        self.store.met[row[row >= 0]] += np.bincount(which, minlength=len(of))[row >= 0]
+        if len(new):
+            self.store.add(hashes[new], raw, size[of[new]], ids, n_ids[new])
+        return id_at[which], n_ids[which]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the offsets of each text's."""
+        cut = Cut(texts, self.merges.specials)
+        id_at, n_ids = self.ids_of(cut)
+        ids = gathered(self.store.ids, id_at, n_ids)[0]
+        before = np.concatenate([[0], np.cumsum(n_ids)])
+        bounds = before[words_before(cut, cut.bounds)]
         if any(cut.special):
-            where = [(before[p], self.merges.special_ids[k]) for s in cut.special for p, k in s]
+            where = [(before[words_before(cut, p)], self.merges.special_ids[k]) for s in cut.special for p, k in s]
             ids = np.insert(ids, [w for w, _ in where], [k for _, k in where])
             bounds = bounds + np.concatenate([[0], np.cumsum([len(s) for s in cut.special])])
         return ids, bounds
 
     def count(self, texts: list[str]) -> np.ndarray:
         cut = Cut(texts, self.merges.specials)
-        return totals(self.run(cut.raw, cut.last)[0], cut.bounds) + np.array([len(s) for s in cut.special], np.int64)
+        tokens = self.ids_of(cut)[1]
+        return totals(tokens, words_before(cut, cut.bounds)) + np.array([len(s) for s in cut.special], np.int64)
+
+
+def unlike(raw: np.ndarray, start: np.ndarray, size: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Spans of ``raw``, one after another, whose bytes are not those of the span ``other``."""
+    odd = size != size[other]
+    if not odd.any():
+        at = np.repeat(start[other] - start, size)
+        at += np.arange(len(at))
+        apart = np.flatnonzero(raw != raw[at])
+        odd[np.searchsorted(start, apart, "right") - 1] = True
+    return np.flatnonzero(odd)
+
+
+def words_before(cut: Cut, at: np.ndarray) -> np.ndarray:
+    """How many pre-tokens end before each byte position."""
+    return np.searchsorted(np.flatnonzero(cut.last) + 1, at, "right")
 
 
 def transducer(path: str) -> Transducer:
