@@ -4,7 +4,10 @@ import random
 import re
 from collections import Counter
 
-from tidemark.llm import repetition
+import numpy as np
+import pyarrow as pa
+
+from tidemark.llm import repetition, text
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -55,3 +58,32 @@ def test_against_loops(spark):
     got = Counter(tuple(r) for r in repetition.repetition_rules(df).collect())
     assert got == Counter((i, *brute(t)) for i, t in rows)
     assert repetition.repetition_rules(df.limit(0)).count() == 0
+
+
+def thue_morse(n, a, b):
+    """Two texts that every polynomial modulo 2**64 at an odd place takes for one."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return [b if x else a for x in bits], [a if x else b for x in bits]
+
+
+def test_spans_that_collide_modulo_a_power_of_two():
+    one, two = ("".join(x) for x in thue_morse(1 << 12, "a", "b"))
+    raw = np.frombuffer((one + two + one).encode(), np.uint8)
+    at = np.arange(3) << 12
+    h = text.span_hash(text._BYTE[raw], at, at + (1 << 12))
+    assert h[0] == h[2] != h[1]
+    docs = [f"{one}\n{two}", " ".join([one, "x", "y", two, "x", "y"])]
+    for d in docs:
+        got = repetition.measure(pa.array([d]), repetition.Limits())
+        assert got["n_dup_lines"][0] == 0 and got["n_repeat_words"][0] == brute(d)[4]
+
+
+def test_span_hash_is_the_polynomial():
+    rng = random.Random(4)
+    step, prime = text._STEP, text.PRIME
+    for top in (256, prime - 1):
+        values = np.array([rng.randrange(1, top + 1) for _ in range(500)], np.uint64)
+        spans = sorted((rng.randrange(500), rng.randrange(500)) for _ in range(50))
+        start, end = np.array([min(s) for s in spans]), np.array([max(s) for s in spans])
+        want = [sum(int(v) * pow(step, k, prime) for k, v in enumerate(values[a:b])) % prime ^ ((b - a) % 8 << 61) for a, b in zip(start.tolist(), end.tolist())]
+        assert (text.span_hash(values, start, end) == text.mix(np.array(want, np.uint64))).all()

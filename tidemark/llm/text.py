@@ -7,6 +7,7 @@ documents, so that memory follows the longest document and not the batch.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -16,8 +17,13 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
-_STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Hashes of spans are polynomials modulo this prime, at a place drawn from a seed: texts
+#: of length n collide with a probability of n / 2**61, however they are built. (Modulo
+#: 2**64 there are texts that collide at every place.)
+PRIME = (1 << 61) - 1
+_STEP = random.Random(61).randrange(1 << 60, PRIME)
+_P, _LOW30, _LOW31 = np.uint64(PRIME), np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+_1, _30, _31, _60, _61 = (np.uint64(k) for k in (1, 30, 31, 60, 61))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,7 +37,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+_BYTE = np.arange(1, 257, dtype=np.uint64)
+_BYTES_AT_ONCE = 1 << 22  # so many bytes times 31 bits add up without a remainder
+
+
+def rest(x: np.ndarray) -> np.ndarray:
+    """The remainder by the prime."""
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, of numbers below it."""
+    ah, al, bh, bl = a >> _30, a & _LOW30, b >> _30, b & _LOW30
+    high, mid = ah * bh, ah * bl + al * bh
+    return rest((high >> _1) + ((high & _1) << _60) + (mid >> _31) + ((mid & _LOW31) << _30) + al * bl)
 
 
 class _Powers:
@@ -41,22 +61,27 @@ class _Powers:
 
     @classmethod
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(n, 1 << 16)
-            one = np.ones(size, np.uint64)
-            one[1:] = _STEP
-            cls.up = np.cumprod(one)
-            one[1:] = _BACK
-            cls.down = np.cumprod(one)
+        while len(cls.up) < n:
+            size = len(cls.up)
+            cls.up = np.concatenate([cls.up, times(cls.up, np.uint64(pow(_STEP, size, PRIME)))])
+            cls.down = np.concatenate([cls.down, times(cls.down, np.uint64(pow(_STEP, -size, PRIME)))])
         return cls.up[:n], cls.down[:n]
 
 
 def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of ``values[start:end]`` for many spans; equal spans anywhere agree."""
-    up, down = _Powers.of(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    n = len(values)
+    up, down = _Powers.of(n + 1)
+    high, low = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+    if n <= _BYTES_AT_ONCE and (not n or values.max() <= 256):
+        np.cumsum(values * (up[:n] >> _30), out=high[1:])
+        np.cumsum(values * (up[:n] & _LOW30), out=low[1:])
+    else:
+        terms = times(rest(values), up[:n])
+        np.cumsum(terms >> _30, out=high[1:])
+        np.cumsum(terms & _LOW30, out=low[1:])
+    total = rest(times(rest(high[end] - high[start]), _1 << _30) + rest(low[end] - low[start]))
+    return mix(times(total, down[start]) ^ ((end - start).astype(np.uint64) << _61))
 
 
 def window_hash(hashes: np.ndarray, n: int) -> np.ndarray:
