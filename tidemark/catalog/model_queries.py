@@ -25,6 +25,7 @@ from tidemark.catalog.sweep_queries import (
     _selected,
     array_sample,
 )
+from tidemark.operators import cells as C
 from tidemark.operators import design as D
 from tidemark.operators import impute as I
 from tidemark.operators import linear as L
@@ -110,9 +111,12 @@ def linear_sweep(spark, d):
     return scores.join(unseen, [*BY, "k"])
 
 
+CELL = [*BY, "k"]
+
+
 @dataclass
 class Cells:
-    """Imputed rows of a design, of which ``rows`` takes one cell's."""
+    """Imputed rows of a design: those of all cells, and of one."""
 
     keys: list[tuple]
     orders: dict[tuple, list[int]]
@@ -120,13 +124,26 @@ class Cells:
     test: DataFrame
     passthrough: bool
 
+    def columns(self, seed: int, draw: int, k: int) -> list[int]:
+        """Positions of the features of the first K sources."""
+        positions = source_positions(views.ARD_SOURCES)
+        return sorted(p for s in self.orders[seed, draw][:k] for p in positions[s])
+
+    def long(self, part: DataFrame) -> DataFrame:
+        """``CELL, row_id, label, features`` of every cell."""
+        subsets = [(*pair, k, self.columns(*pair, k)) for pair in sorted(self.orders) for k in K_GRID]
+        design = part.sparkSession.createDataFrame(subsets, "seed int, draw int, k int, _columns array<int>")
+        rows = part.join(F.broadcast(design), ["seed", "draw"])  # a row per (seed, draw, K) of the caller's design
+        features = F.transform("_columns", lambda p: F.col("x")[p])
+        return rows.select(*CELL, "row_id", F.col("y").cast("double").alias("label"), features.alias("features"))
+
     def rows(self, part: DataFrame, cell: tuple) -> DataFrame:
-        """``row_id, label, features`` of a cell, with the features of its first K sources."""
+        """``row_id, label, features`` of one cell, as vectors."""
         seed, draw, n, k = cell
-        positions = source_positions(views.ARD_SOURCES)
-        cols = sorted(p for s in self.orders[seed, draw][:k] for p in positions[s])
         own = part.where((F.col("seed") == seed) & (F.col("draw") == draw) & (F.col("n") == n))
-        return Z.as_vectors(own.withColumn("x", F.array(*[F.col("x")[p] for p in cols])), "y", passthrough=self.passthrough)
+        picked = F.array(*[F.col("x")[p] for p in self.columns(seed, draw, k)])
+        return Z.as_vectors(own.withColumn("x", picked), "y", passthrough=self.passthrough)
+
 
 def cells(spark, d, y="y", standardized=False, passthrough=False) -> Cells:
     """Every (seed, draw, N, K) of the design; fills, means and deviations come from a cell's training rows."""
@@ -136,7 +153,7 @@ def cells(spark, d, y="y", standardized=False, passthrough=False) -> Cells:
     train, test = [I.apply_fills(part, packed, BY, views.ARD_SOURCES, passthrough, n_cells=s.n_cells) for part in (s.train, S.test_cells(s))]
     if standardized:
         train, test = [I.standardize(part, BY, n_cells=s.n_cells, fitted_on=train) for part in (train, test)]
-    path = scratch_path(spark, "cell-rows")  # read by hundreds of jobs
+    path = scratch_path(spark, "cell-rows")  # read by several jobs
     for role, part in (("train", train), ("test", test)):
         part.select(*BY, "row_id", "y", "x").write.parquet(f"{path}/{role}")
     s.release()
@@ -147,84 +164,221 @@ def cells(spark, d, y="y", standardized=False, passthrough=False) -> Cells:
     return Cells(keys, orders, train, test, passthrough)
 
 
-CELL_DDL = "row_id long, y_true double, y_pred double"
+@dataclass
+class CellModels:
+    """What was fitted in all cells, as written tables."""
+
+    predictions: DataFrame  # CELL, row_id, label, y_pred
+    errors: DataFrame  # CELL, error
+    models: DataFrame | None  # CELL and cells.MODEL; CELL, intercept, weights of stacks
+    train: DataFrame
+    test: DataFrame
+
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def cell_predictions(spark, d, name, fitter, y="y", standardized=False, passthrough=False, diagnostics=()):
-    """Test predictions of a model in every cell, written cell by cell, so that few models are held.
 
-    A cell whose fit fails has one row, with its ``error`` and no prediction.
+_FITTED: dict[tuple, CellModels] = {}
+
+
+def fitted_cells(spark, d, name: str, y: str = "y", standardized: bool = False, passthrough: bool = False) -> CellModels:
+    """Models of every cell of the design, all in one plan; fitted once for a session and a folder.
+
+    Cells above the size of a task are left to the distributed estimators, one by one.
+    Raises if not one cell could be fitted.
     """
+    key = (spark.sparkContext.applicationId, d, name)
+    if key in _FITTED:
+        return _FITTED[key]
     c = cells(spark, d, y, standardized, passthrough)
-    path = scratch_path(spark, "cells")
+    train, test = c.long(c.train), c.long(c.test)
+    big = [tuple(r[k] for k in CELL) for r in C.oversized(train, CELL).select(CELL).collect()]  # cells of the caller's design
+    small = train
+    if big:
+        small = train.join(spark.createDataFrame(big, "seed int, draw int, n int, k int"), CELL, "left_anti")
+    if len(big) == len(c.keys):
+        models, preds, errors = None, None, None
+    elif name in C.BASES:
+        preds, models, errors = C.stack_cells(small, test, CELL, name, 3, keep_models=written)
+        preds, models, errors = written(preds, "cell-predictions"), written(models, "cell-weights"), written(errors, "cell-errors")
+    else:
+        models = written(C.fit_cells(small, CELL, C.KINDS[name], 3), "cell-models")
+        preds = written(C.predict_cells(models, test, CELL, C.KINDS[name]), "cell-predictions")
+        errors = models.where("error is not null").groupBy(CELL).agg(F.min("error").alias("error"))
+    if big:
+        more, failed = large_cells(spark, c, big, name)
+        preds = more if preds is None else preds.unionByName(more)
+        errors = failed if errors is None else errors.unionByName(failed)
+    if errors.count() == len(c.keys):
+        raise RuntimeError(f"{name}: no cell could be fitted: {errors.first()['error']}")
+    _FITTED[key] = CellModels(preds, errors, models, train, test)
+    return _FITTED[key]
+
+
+LARGE = {
+    "boosted": lambda rows: Z.fit_boosted_cv(rows, 3),
+    "boosted_leaf": lambda rows: Z.fit_boosted_early_stop(rows, 3),
+    "stack": lambda rows: Z.Fitted(Z.regression_stack(rows, 3)),
+    "stack_classifier": lambda rows: Z.Fitted(Z.classification_stack(rows, 3)),
+}
+
+
+def large_cells(spark, c: Cells, big: list[tuple], name: str) -> tuple[DataFrame, DataFrame]:
+    """Predictions and errors of cells that one Spark ML job each fits, written cell by cell."""
+    path, errors = scratch_path(spark, "large-cells"), []
 
     def held(train):
         train = train.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            return fitter(train)
+            return LARGE[name](train) if name in LARGE else Z.fit(name, train, 3)
         finally:
             train.unpersist()
 
-    def put(i, cell, df, fitted, error):
-        found = [F.lit(fitted and fitted.diagnostics[x]).cast("int").alias(x) for x in diagnostics]
-        keys = [F.lit(v).cast("int").alias(k) for k, v in zip([*BY, "k"], cell)]
-        df.select(*keys, "row_id", F.col("y_true").alias("label"), "y_pred", *found, F.lit(error).cast("string").alias("error")).write.mode(
-            "overwrite").parquet(f"{path}/cell={i}")
-
-    fits = Z.fit_cells(c.keys, lambda k: c.rows(c.train, k), lambda k: c.rows(c.test, k), held, name)
-    for i, (cell, fitted, scored, error) in enumerate(fits):
+    fits = Z.fit_cells(big, lambda k: c.rows(c.train, k), lambda k: c.rows(c.test, k), held, name)
+    for i, (cell, _, scored, error) in enumerate(fits):
         if error is None:
             try:
-                put(i, cell, scored, fitted, None)
+                keys = [F.lit(v).cast("int").alias(k) for k, v in zip(CELL, cell)]
+                scored.select(*keys, "row_id", F.col("y_true").alias("label"), "y_pred").write.mode("overwrite").parquet(f"{path}/cell={i}")
             except Exception as e:  # prediction is lazy and can fail here
                 error = f"{type(e).__name__}: {e}"
         if error is not None:
-            put(i, cell, spark.createDataFrame([(None, None, None)], CELL_DDL), None, error)
-    return spark.read.parquet(path).drop("cell")
-
-
-def _fit_query(name, y, standardized=False):
-    def run(spark, d):
-        return cell_predictions(spark, d, name, lambda train: Z.fit(name, train, 3), y, standardized)
-
-    return run
-
-
-query("random_forest")(_fit_query("random_forest", "y"))
-query("random_forest_classifier")(_fit_query("random_forest_classifier", "y_bin"))
-query("extra_trees")(_fit_query("extra_trees", "y"))
-query("extra_trees_classifier")(_fit_query("extra_trees_classifier", "y_bin"))
-query("logistic")(_fit_query("ridge_classifier", "y_bin", True))
-query("logistic_unpenalized")(_fit_query("ols_classifier", "y_bin", True))
-query("logistic_l1")(_fit_query("lasso_classifier", "y_bin", True))
-query("mlp_classifier")(_fit_query("neural_net_classifier", "y_bin", True))
+            errors.append((*cell, error))
+    failed = spark.createDataFrame(errors, "seed int, draw int, n int, k int, error string")
+    if len(errors) == len(big):
+        return spark.createDataFrame([], "seed int, draw int, n int, k int, row_id long, label double, y_pred double"), failed
+    return spark.read.parquet(path).drop("cell"), failed
+
+
+def cell_predictions(f: CellModels, *diagnostics: str) -> DataFrame:
+    """Test predictions of every cell; a cell that failed has one row, with its ``error``."""
+    preds = f.predictions
+    if diagnostics and f.models is not None:
+        found = f.models.groupBy(CELL).agg(*[F.max(x).alias(x) for x in diagnostics])
+        preds = preds.join(found, CELL, "left")
+    extra = [F.lit(None).cast("int").alias(x) for x in diagnostics if x not in preds.columns]
+    preds = preds.select(*CELL, "row_id", "label", "y_pred", *[x for x in diagnostics if x in preds.columns], *extra, F.lit(None).cast("string").alias("error"))
+    return preds.unionByName(f.errors.select(*CELL, "error"), allowMissingColumns=True)
+
+
+TEST_SQL = f"""WITH {CELLS_SQL},
+ kk AS (SELECT unnest({K_GRID})::INT AS k),
+ tr AS (SELECT seed, draw, n, count(*)::BIGINT AS n_train FROM cells GROUP BY ALL),
+ te AS (SELECT seed, count(*)::BIGINT AS n_test FROM split WHERE role = 'test' GROUP BY ALL)"""
+CLASS_SQL = f"""WITH {views.ARD_SQL},
+ cls AS (SELECT y_bin, count(*) AS c FROM ard GROUP BY y_bin),
+ tot AS (SELECT count(*) AS n_all, ceil(count(*) * {TEST_SIZE})::BIGINT AS n_test FROM ard),
+ seeds AS (SELECT unnest({SEEDS})::INT AS seed), draws AS (SELECT unnest({DRAWS})::INT AS draw),
+ grid AS (SELECT DISTINCT greatest({MIN_N}, least(n_all - n_test, CAST(round_even(round(
+     pow(2, log2({MIN_N}) + (log2(n_all - n_test) - log2({MIN_N})) * i / {N_SIZES - 1}.0::DOUBLE), 9), 0) AS BIGINT)))::INT AS n
+   FROM tot, (SELECT unnest(range(0, {N_SIZES})) AS i)),
+ kk AS (SELECT unnest({K_GRID})::INT AS k),
+ tr AS (SELECT seed, draw, n, n::BIGINT AS n_train FROM seeds, draws, grid),
+ te AS (SELECT seed, n_test FROM seeds, tot)"""
+
+
+def checks_sql(classifier: bool, flags: list[str]) -> str:
+    """What holds of a right fit in every cell: its rows, and each condition."""
+    return f"""{CLASS_SQL if classifier else TEST_SQL}
+SELECT seed, draw, n, k, n_train, n_test, {", ".join(f"true AS {x}" for x in flags)} FROM tr JOIN te USING (seed), kk"""
+
+
+def fit_checks(f: CellModels, kind: C.Kind, flags: list[str]) -> DataFrame:
+    """One row per cell: rows trained and predicted, and what must hold of a right fit.
+
+    Conditions are recomputed from the written models, predictions and training rows:
+    ``in_range`` predictions lie between the targets (the classes), ``trees_whole`` all
+    trees are there and their leaves hold every row (of bootstrapped trees: as many as
+    expected), ``not_above_null`` the training error is not above that of the mean,
+    ``balanced`` training residuals add up to nothing, ``optimal`` no coefficient can be
+    improved, ``rounds_found`` the number of rounds was chosen within its limits.
+    """
+    cell_rows = f.train.groupBy(CELL).agg(F.count(F.lit(1)).alias("n_train"), F.min("label").alias("_low"), F.max("label").alias("_high"))
+    span = F.greatest(F.lit(1.0), F.abs("_low"), F.abs("_high")) * 1e-9
+    tests = f.predictions.join(cell_rows, CELL).groupBy(CELL).agg(
+        F.max("n_train").alias("n_train"), F.count(F.lit(1)).alias("n_test"),
+        F.bool_and((F.col("y_pred") >= F.col("_low") - span) & (F.col("y_pred") <= F.col("_high") + span)).alias("in_range"))
+    out = tests
+    if "trees_whole" in flags:
+        out = out.join(C.forest_sizes(f.models, CELL, kind), CELL)
+        even = F.abs(F.col("leaf_rows") / F.col("trees") - F.col("n_train"))
+        whole = even < 1e-6 if kind.random else even <= 6 * F.sqrt(F.col("n_train") / F.col("trees"))
+        out = out.withColumn("trees_whole", (F.col("trees") == kind.trees) & whole)
+    if "rounds_found" in flags:
+        rounds = f.models.groupBy(CELL).agg(F.max("best_rounds").alias("r"))
+        out = out.join(rounds, CELL).withColumn("rounds_found", F.col("r").between(1, kind.rounds))
+    if {"not_above_null", "balanced"} & set(flags):
+        own = C.predict_cells(f.models, f.train, CELL, kind).join(cell_rows, CELL)
+        gap = F.col("y_pred") - F.col("label")
+        loss = -F.ln(F.when(F.col("label") == 1, F.col("y_pred")).otherwise(1 - F.col("y_pred"))) if kind.classifier else gap * gap
+        mean = F.avg("label")
+        null = -(mean * F.ln(mean) + (1 - mean) * F.ln(1 - mean)) if kind.classifier else F.var_pop("label")
+        stats = own.groupBy(CELL).agg((F.avg(loss) <= null * (1 + 1e-9) + 1e-9).alias("not_above_null"),
+                                      (F.abs(F.avg(gap)) <= 1e-6 * (F.max(F.abs("label")) + 1)).alias("balanced"))
+        out = out.join(stats, CELL)
+    if "optimal" in flags:
+        out = out.join(f.models.groupBy(CELL).agg(F.bool_and("converged").alias("optimal")), CELL)
+    return out.select(*CELL, "n_train", "n_test", *flags)
+
+
+def register(query_name: str, name: str, y: str = "y", flags: tuple[str, ...] = (), diagnostics: tuple[str, ...] = (), **options) -> None:
+    """The predictions of a model in all cells, and what must hold of its fits."""
+    query(query_name)(lambda spark, d: cell_predictions(fitted_cells(spark, d, name, y, **options), *diagnostics))
+    if flags:
+        kind = C.KINDS[name]
+        query(f"{query_name}_checks", checks_sql(kind.classifier, list(flags)))(
+            lambda spark, d: fit_checks(fitted_cells(spark, d, name, y, **options), kind, list(flags)))
+
+
+register("random_forest", "random_forest", flags=("in_range", "trees_whole"))
+register("random_forest_classifier", "random_forest_classifier", "y_bin", ("in_range", "trees_whole"))
+register("extra_trees", "extra_trees", flags=("in_range", "trees_whole", "not_above_null", "balanced"))
+register("extra_trees_classifier", "extra_trees_classifier", "y_bin", ("in_range", "trees_whole", "balanced"))
+register("logistic", "ridge_classifier", "y_bin", ("in_range", "not_above_null", "balanced", "optimal"), standardized=True)
+register("logistic_unpenalized", "ols_classifier", "y_bin", ("in_range", "not_above_null"), standardized=True)
+register("logistic_l1", "lasso_classifier", "y_bin", ("in_range", "not_above_null", "balanced", "optimal"), standardized=True)
+register("mlp_classifier", "neural_net_classifier", "y_bin", ("in_range",), standardized=True)
+register("boosted_cv", "boosted", flags=("rounds_found", "not_above_null"), diagnostics=("best_rounds",), passthrough=True)
+register("boosted_early_stop", "boosted_leaf", flags=("rounds_found", "not_above_null", "balanced"), diagnostics=("best_rounds",), passthrough=True)
+register("boosted_classifier", "boosted_classifier", "y_bin", ("in_range", "rounds_found", "not_above_null"), ("best_rounds",), passthrough=True)
+register("boosted_leaf_classifier", "boosted_leaf_classifier", "y_bin", ("in_range", "rounds_found", "not_above_null"), ("best_rounds",), passthrough=True)
 
 
 @query("positive_probability")
 def positive_probability(spark, d):
-    out = cell_predictions(spark, d, "ridge_classifier", lambda train: Z.fit("ridge_classifier", train), "y_bin", True)
-    return out.select(*BY, "k", "row_id", F.col("y_pred").alias("p"), "error")
-
-
-@query("boosted_cv")
-def boosted_cv(spark, d):
-    return cell_predictions(spark, d, "boosted", lambda train: Z.fit_boosted_cv(train, 3), passthrough=True, diagnostics=["best_rounds"])
-
-
-@query("boosted_early_stop")
-def boosted_early_stop(spark, d):
-    return cell_predictions(spark, d, "boosted_leaf", lambda train: Z.fit_boosted_early_stop(train, 3), passthrough=True, diagnostics=["best_rounds"])
+    out = cell_predictions(fitted_cells(spark, d, "ridge_classifier", "y_bin", standardized=True))
+    return out.select(*CELL, "row_id", F.col("y_pred").alias("p"), "error")
 
 
 @query("stacking")
 def stacking(spark, d):
-    return cell_predictions(spark, d, "stack", lambda train: Z.Fitted(Z.regression_stack(train, 3)), standardized=True)
+    return cell_predictions(fitted_cells(spark, d, "stack", standardized=True))
 
 
 @query("stacking_classifier")
 def stacking_classifier(spark, d):
-    out = cell_predictions(spark, d, "stack", lambda train: Z.Fitted(Z.classification_stack(train, 3)), "y_bin", True)
-    return out.withColumnRenamed("y_pred", "score")
+    return cell_predictions(fitted_cells(spark, d, "stack_classifier", "y_bin", standardized=True)).withColumnRenamed("y_pred", "score")
+
+
+def stack_checks(f: CellModels, nonnegative: bool) -> DataFrame:
+    """Rows of every cell, and whether the combining weights are as their method asks."""
+    sizes = f.train.groupBy(CELL).agg(F.count(F.lit(1)).alias("n_train"))
+    tests = f.predictions.groupBy(CELL).agg(F.count(F.lit(1)).alias("n_test"), F.bool_and(F.col("y_pred").isNotNull() & ~F.isnan("y_pred")).alias("finite"))
+    good = F.forall("weights", lambda w: (w >= 0) if nonnegative else ~F.isnan(w)) & (F.size("weights") == (3 if nonnegative else 4))
+    return sizes.join(tests, CELL).join(f.models.select(*CELL, good.alias("weights_good")), CELL).select(*CELL, "n_train", "n_test", "finite", "weights_good")
+
+
+@query("stacking_checks", checks_sql(False, ["finite", "weights_good"]))
+def stacking_checks(spark, d):
+    return stack_checks(fitted_cells(spark, d, "stack", standardized=True), True)
+
+
+@query("stacking_classifier_checks", checks_sql(True, ["finite", "weights_good"]))
+def stacking_classifier_checks(spark, d):
+    return stack_checks(fitted_cells(spark, d, "stack_classifier", "y_bin", standardized=True), False)
 
 
 @query("fit_diagnostics")

@@ -18,7 +18,7 @@ from tidemark.functions.ordered import exact_quantiles
 from tidemark.operators.design import Source, source_positions
 
 _SPEC_DDL = (
-    "array<struct<name:string,kind:string,start:int,width:int,drop:boolean,"
+    "array<struct<src:int,name:string,kind:string,start:int,width:int,drop:boolean,"
     "levels:array<double>,prior:array<double>>>"
 )
 # A per-cell table up to this size is broadcast; beyond it Spark joins by key.
@@ -27,14 +27,15 @@ MAX_BROADCAST_BYTES = 64 << 20
 FILL_STEPS = 32
 
 
-def source_spec(sources: Sequence[Source]) -> Column:
-    """The manifest as one constant array, so expressions can walk it."""
+def source_spec(sources: Sequence[Source], kinds: Sequence[str] | None = None) -> Column:
+    """The manifest, or its sources of some kinds, as one constant array, so expressions can walk it."""
     spec = [
         {
-            "name": s.name, "kind": s.unit_type, "start": pos[0], "width": len(pos),
+            "src": i, "name": s.name, "kind": s.unit_type, "start": pos[0], "width": len(pos),
             "drop": s.drop_first, "levels": s.ordinal_levels, "prior": s.prior_values(),
         }
-        for s, pos in zip(sources, source_positions(sources))
+        for i, (s, pos) in enumerate(zip(sources, source_positions(sources)))
+        if kinds is None or s.unit_type in kinds
     ]
     return F.from_json(F.lit(json.dumps(spec)), _SPEC_DDL)
 
@@ -61,10 +62,10 @@ def _unit(x: Column, s: Column) -> Column:
     ).otherwise(F.element_at(x, s["start"] + 1))
 
 
-def units(df: DataFrame, by: Sequence[str], sources: Sequence[Source], x: str = "x") -> DataFrame:
-    """Long form ``(by, src, unit)``; ``unit`` is NULL where the source is missing."""
-    values = F.transform(source_spec(sources), lambda s: _unit(F.col(x), s))
-    return df.select(*by, F.posexplode(values).alias("src", "unit"))
+def units(df: DataFrame, by: Sequence[str], sources: Sequence[Source], x: str = "x", kinds: Sequence[str] | None = None) -> DataFrame:
+    """Long form ``(by, src, unit)`` of all sources or of some kinds; ``unit`` is NULL where the source is missing."""
+    values = F.transform(source_spec(sources, kinds), lambda s: F.struct(s["src"].alias("src"), _unit(F.col(x), s).alias("unit")))
+    return df.select(*by, F.inline(values))
 
 
 def observed_sources(long: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -112,21 +113,25 @@ def fit_fills(train: DataFrame, by: Sequence[str], sources: Sequence[Source],
               x: str = "x") -> DataFrame:
     """Fill statistic of every source in every cell: ``(by, src, fill, observed)``."""
     by = list(by)
-    long = units(train, by, sources, x)
-    kind = F.element_at(source_spec(sources), F.col("src") + 1)["kind"]
+
+    def long(kind: str) -> DataFrame:
+        return units(train, by, sources, x, [kind])
+
     kinds = {s.unit_type for s in sources}
     parts = []
     if "continuous" in kinds:
-        parts.append(fit_continuous(long.where(kind == "continuous"), by, continuous))
+        parts.append(fit_continuous(long("continuous"), by, continuous))
     if "ordinal" in kinds:
-        parts.append(fit_ordinal(long.where(kind == "ordinal"), by, sources, ordinal))
+        parts.append(fit_ordinal(long("ordinal"), by, sources, ordinal))
     if "onehot_group" in kinds:
-        parts.append(fit_onehot(long.where(kind == "onehot_group"), by))
+        parts.append(fit_onehot(long("onehot_group"), by))
     fills = parts[0]
     for p in parts[1:]:
         fills = fills.unionByName(p)
-    return observed_sources(long, by).join(fills, [*by, "src"], "left").select(
-        *by, "src", "fill", "observed")
+    # A source has a fill where it was observed, so cells times sources need no pass over values.
+    grid = train.select(*by).distinct().withColumn("src", F.explode(F.sequence(F.lit(0), F.lit(len(sources) - 1))))
+    return grid.join(fills, [*by, "src"], "left").select(
+        *by, "src", "fill", F.col("fill").isNotNull().alias("observed"))
 
 
 def pack_fills(fills: DataFrame, by: Sequence[str]) -> DataFrame:
