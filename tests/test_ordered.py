@@ -105,3 +105,21 @@ def test_narrow_values_far_from_zero_are_cut(spark):
         assert all(a.hi <= b.lo for a, b in zip(cut, cut[1:]))
         got = O.exact_quantiles(df, ["g"], "v", {"q": 0.37}).first().q
         assert got == pytest.approx(np.quantile(v, 0.37), rel=1e-12)
+
+
+def test_quantiles_of_ties_that_fill_buckets(spark):
+    v = np.repeat([1.0, 1.0 + 1e-9, 2.0, 1e6], [900, 5, 2000, 700])
+    df = spark.createDataFrame(pd.DataFrame({"v": v})).withColumn("g", F.lit("g"))
+    probs = {f"q{i}": p for i, p in enumerate((0.0, 0.2497, 0.2499, 0.25, 0.5, 0.81, 1.0))}
+    got = O.exact_quantiles(df, ["g"], "v", probs).first()
+    for name, p in probs.items():
+        assert got[name] == pytest.approx(np.quantile(v, p), rel=1e-15)
+
+
+def test_quantiles_read_their_input_twice(spark, tmp_path):
+    """Once for the histogram, once for the rows of the wanted buckets; the rest is one exchange, reused."""
+    spark.range(5000).selectExpr("id % 3 AS g", "rand(1) AS v").write.parquet(str(tmp_path / "t"))
+    q = O.exact_quantiles(spark.read.parquet(str(tmp_path / "t")), ["g"], "v", {"m": 0.5})
+    q.collect()
+    final = q._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Scan parquet") == 2 and "ReusedExchange" in final

@@ -221,7 +221,7 @@ def exact_quantiles(
     whole = Window.partitionBy(*by)
     hist = (
         rows.groupBy(*by, "_d")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
         .withColumn("_o", F.sum("_c").over(whole.orderBy("_d")) - F.col("_c"))
         .withColumn("_n", F.sum("_c").over(whole))
     )
@@ -237,19 +237,19 @@ def exact_quantiles(
     for prob in probs.values():
         _, low, high = at(prob)
         wanted = wanted | holds(low) | holds(high)
-    near = hist.where(wanted).select(*by, "_d", F.col("_o").alias("_start"), "_n")
-    picked = spread(
-        rows.join(near, [*by, "_d"])
-        .groupBy(*by, "_d", "_v", "_start", "_n")
-        .agg(F.count(F.lit(1)).alias("_c")),
-        by,
-        "_v",
-    )
-    slices = picked.groupBy(*by, "_d", "_slice").agg(F.sum("_c").alias("_slice_n"))
+    near = hist.where(wanted).select(*by, "_d", F.col("_o").alias("_start"), "_n", F.col("_c").alias("_size"), "_low", "_high")
+    # A full bucket is cut between its own least and largest value, which the histogram knows.
+    slices = F.ceil(F.col("_size") / BUCKET_ROWS)
+    share = F.try_divide(F.col("_v") - F.col("_low"), F.col("_high") - F.col("_low"))  # NULL where all values are one
+    place = F.when(slices > 1, F.least(F.floor(F.coalesce(share, F.lit(0.0)) * slices), slices - 1)).otherwise(0)
+    # Summed up twice from one exchange: by slice, and by value inside each.
+    picked = rows.join(near, [*by, "_d"]).groupBy(
+        *by, "_d", place.cast("bigint").alias("_slice"), "_v", "_start", "_n").agg(F.count(F.lit(1)).alias("_c"))
     run = Window.partitionBy(*by, "_d").orderBy("_slice")
-    slices = slices.select(*by, "_d", "_slice", (F.sum("_slice_n").over(run) - F.col("_slice_n")).alias("_slice_base"))
+    totals = picked.groupBy(*by, "_d", "_slice").agg(F.sum("_c").alias("_slice_n"))
+    totals = totals.select(*by, "_d", "_slice", (F.sum("_slice_n").over(run) - F.col("_slice_n")).alias("_slice_base"))
     inner = Window.partitionBy(*by, "_d", "_slice").orderBy("_v")
-    picked = picked.join(slices, [*by, "_d", "_slice"]).withColumn(
+    placed = picked.join(totals, [*by, "_d", "_slice"]).withColumn(
         "_o", F.col("_start") + F.col("_slice_base") + F.sum("_c").over(inner) - F.col("_c")
     )
     aggs = []
@@ -257,6 +257,6 @@ def exact_quantiles(
         pos, low, high = at(prob)
         lo_v = F.max(F.when(holds(low), F.col("_v")))
         hi_v = F.max(F.when(holds(high), F.col("_v")))
-        share = F.max(pos - low)
-        aggs.append((lo_v + (hi_v - lo_v) * share).alias(name))
-    return picked.groupBy(*by).agg(*aggs)
+        part = F.max(pos - low)
+        aggs.append((lo_v + (hi_v - lo_v) * part).alias(name))
+    return placed.groupBy(*by).agg(*aggs)
