@@ -71,12 +71,37 @@ def test_stream_equals_batch(spark, rows, tmp_path):
     stream = G.shard_stream(spark, path, rows.schema, 1)
     G.upsert(stream, str(tmp_path / "u"), str(tmp_path / "cu"))
     assert best(G.read_upserted(spark, str(tmp_path / "u"))) == WANT
-    done = G.run_batches(G.shard_stream(spark, path, rows.schema, 1), str(tmp_path / "r"), str(tmp_path / "cr"), stop_after=2)
-    assert done >= 2
-    G.run_batches(G.shard_stream(spark, path, rows.schema, 1), str(tmp_path / "r"), str(tmp_path / "cr"))
+    assert G.read_upserted(spark, str(tmp_path / "u")).count() == len(WANT)
+
+    def run(stop_after=None):
+        return G.run_batches(G.shard_stream(spark, path, rows.schema, 1), str(tmp_path / "r"), str(tmp_path / "cr"), stop_after)
+
+    assert run(2) == 2 and len(H.batches(spark, str(tmp_path / "r"))) == 2
+    assert 0 < run(999) < 999 and run() == 0  # more than there are: it ends
     assert spark.read.parquet(str(tmp_path / "r")).count() == rows.count()
 
 
+def test_upsert_goes_on_and_keeps_one_version(spark, rows, tmp_path):
+    path, table, position = str(tmp_path / "s"), str(tmp_path / "u"), str(tmp_path / "c")
+    for part in (range(1, 4), range(4, 7)):
+        for i in part:
+            H.append_batch(rows.where(F.col("seq") == i), path, f"{i:03d}")
+        G.upsert(G.shard_stream(spark, path, rows.schema, 1), table, position, buckets=3)
+    assert best(G.read_upserted(spark, table)) == WANT
+    assert spark.read.parquet(table).count() == len(WANT) and len(list((tmp_path / "u").glob("bucket=*"))) <= 3
+
+
+def test_order_without_a_sequence_column(spark, rows, tmp_path):
+    path = str(tmp_path / "s")
+    for i in (6, 2, 5, 1, 3, 4):  # written in another order than named
+        H.append_batch(rows.where(F.col("seq") == i).drop("seq"), path, f"{i:09d}")
+    got = R.prefer_completed(H.in_shard_order(spark, path))
+    want = R.prefer_completed(rows)
+    kept = [c for c in rows.columns if c != "seq"]
+    assert sorted(map(str, got.select(kept).collect())) == sorted(map(str, want.select(kept).collect()))
+    assert H.checkpoint_index(spark, path, sequence=None).count() == want.count()
+
+
 def test_power_law_recovers_exactly(spark):
     pts = [("m", n, k, float(np.exp(-3) * k**1.3 * n**0.7)) for n in (10, 100, 1000) for k in (2, 8, 32)]
     pts += [("short", 10, 1, 1.0), ("short", 20, 1, 2.0)]

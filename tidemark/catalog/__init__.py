@@ -12,6 +12,7 @@ MODULES = [
     "result_queries",
     "source_queries",
     "model_queries",
+    "model_sweep_queries",
 ]
 
 

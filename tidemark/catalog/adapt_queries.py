@@ -199,7 +199,7 @@ def categorical_eligible(spark, d):
     return P.categorical_eligible(P.level_vocabulary(*screened(spark, d)))
 
 
-def raw_sources(spark, d, columns=("balance", "grp")):
+def raw_sources(spark, d, columns=("balance", "grp", "mixed", "constant")):
     pool = views.raw_survey(spark, d).where(F.col("pool") == "train")
     return P.collect_sources(pool, list(columns))
 

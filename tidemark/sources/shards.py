@@ -42,22 +42,52 @@ def read_shards(spark: SparkSession, path: str, columns: list[str] | None = None
     return df.select(*columns) if columns else df
 
 
-def checkpoint_index(spark: SparkSession, path: str) -> DataFrame:
-    """What resuming needs: keys and status, deduplicated."""
-    return prefer_completed(read_shards(spark, path, [*RESULT_KEYS, "status", "seq"]))
+def in_shard_order(spark: SparkSession, path: str, columns: list[str] | None = None,
+                   schema: StructType | str | None = None, name: str = "seq") -> DataFrame:
+    """All shards, with the place of each row in ``name``: later shards order after earlier ones.
 
+    A shard's place is its name's, as :func:`shard_order` ranks names, then the time its
+    file was written; within a file rows keep their order. Writers need no sequence
+    number, and nothing is sorted: the place is a struct to take the greatest of.
+    """
+    reader = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", True)
+    df = reader.parquet(f"{path}/*")
+    folder = F.element_at(F.split("_metadata.file_path", "/"), -2)
+    place = F.struct(shard_order(folder).alias("shard"), F.col("_metadata.file_modification_time").alias("written"),
+                     F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return df.select(*(columns or [c for c in df.columns if c != name]), place.alias(name))
+
+
+def checkpoint_index(spark: SparkSession, path: str, sequence: str | None = "seq") -> DataFrame:
+    """What resuming needs: keys and status, deduplicated.
+
+    Without a ``sequence`` column in the shards their own order decides.
+    """
+    if sequence is None:
+        return prefer_completed(in_shard_order(spark, path, [*RESULT_KEYS, "status"])).drop("seq")
+    return prefer_completed(read_shards(spark, path, [*RESULT_KEYS, "status", sequence]), seq=sequence)
+
+
+#: Bytes of a compacted file.
+FILE_BYTES = 128 << 20
 
-def compact(spark: SparkSession, path: str, threshold: int = COMPACT_AT, files: int = 1) -> int:
+
+def compact(spark: SparkSession, path: str, threshold: int = COMPACT_AT, file_bytes: int = FILE_BYTES) -> int:
     """Merge loose batches into one shard once there are ``threshold`` of them.
 
     The merged shard is written before the loose ones go, so a crash leaves
-    repeated rows, which deduplication removes. ``files`` bounds the output.
+    repeated rows, which deduplication removes. It has as many files as its bytes ask
+    for.
     """
     loose = [b for b in batches(spark, path) if not b.startswith("batch=compact")]
     if len(loose) < threshold:
         return 0
+    held = 0
+    for b in loose:
+        fs, p = _fs(spark, f"{path}/{b}")
+        held += fs.getContentSummary(p).getLength()
     merged = spark.read.option("mergeSchema", True).parquet(*[f"{path}/{b}" for b in loose])
-    merged.coalesce(files).write.parquet(f"{path}/batch=compact-{uuid.uuid4().hex}")
+    merged.repartition(max(1, -(-held // file_bytes))).write.parquet(f"{path}/batch=compact-{uuid.uuid4().hex}")
     for b in loose:
         fs, p = _fs(spark, f"{path}/{b}")
         fs.delete(p, True)

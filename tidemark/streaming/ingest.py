@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tidemark.operators.results import COMPLETED, RESULT_KEYS, status_or_ok
+from tidemark.sources.shards import _fs
 
 
 def shard_stream(spark: SparkSession, path: str, schema: StructType | str,
@@ -43,44 +43,69 @@ def _versioned(table: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def upsert(stream: DataFrame, table: str, checkpoint: str, keys: Sequence[str] = RESULT_KEYS) -> None:
-    """Write the keys each batch changed; :func:`read_upserted` shows the current row of each."""
-    (best_rows(stream, keys).writeStream.outputMode("update").foreachBatch(_versioned(table))
+#: Parts of an upserted table; a batch rewrites those that its keys fall into.
+UPSERT_BUCKETS = 64
+
+
+def upsert(stream: DataFrame, table: str, checkpoint: str, keys: Sequence[str] = RESULT_KEYS, buckets: int = UPSERT_BUCKETS) -> None:
+    """Keep one row per key in ``table``: the best that any batch brought.
+
+    The table is cut into hash buckets. A batch merges its keys into the buckets they
+    fall into and overwrites just those, so no versions pile up; a replayed batch merges
+    the same rows again and changes nothing. ``buckets`` must stay the same for a table.
+    """
+    spark = stream.sparkSession
+    order = F.struct(status_or_ok(F.col("r.status")).isin(*COMPLETED).alias("done"), F.col("r.seq").alias("seq"))
+
+    def merge(batch: DataFrame, _batch_id: int) -> None:
+        changed = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        try:
+            touched = [r[0] for r in changed.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+            if not touched:
+                return
+            known = spark.createDataFrame([], changed.schema)
+            fs, path = _fs(spark, table)
+            if fs.exists(path):
+                known = spark.read.schema(changed.schema).parquet(table).where(F.col("bucket").isin(touched))
+            merged = known.unionByName(changed).groupBy(*keys, "bucket").agg(F.max_by("r", order).alias("r"))
+            merged.repartition("bucket").write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(table)
+        finally:
+            changed.unpersist()
+
+    (best_rows(stream, keys).writeStream.outputMode("update").foreachBatch(merge)
      .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
 
 
 def read_upserted(spark: SparkSession, table: str, keys: Sequence[str] = RESULT_KEYS) -> DataFrame:
-    newest = spark.read.parquet(table).groupBy(*keys).agg(F.max_by("r", "batch").alias("r"))
-    return newest.select(*keys, "r.*")
+    return spark.read.parquet(table).select(*keys, "r.*")
 
 
-def start_batches(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    return (stream.writeStream.foreachBatch(_versioned(table))
-            .option("checkpointLocation", checkpoint).start())
+class _Enough(Exception):
+    """Ends a query before it writes a batch too many."""
 
 
-def run_batches(stream: DataFrame, table: str, checkpoint: str, stop_after: int | None = None,
-                poll: float = 0.1) -> int:
-    """Process batches until ``stop_after`` are committed, or all there are.
+def run_batches(stream: DataFrame, table: str, checkpoint: str, stop_after: int | None = None) -> int:
+    """Process batches until ``stop_after`` are committed, or all that are there now; how many were.
 
-    The position is kept in ``checkpoint``: a later call goes on from there.
+    The position is kept in ``checkpoint``: a later call goes on from there. The batch
+    after the last wanted one is refused before it writes anything, so it is not
+    committed and comes first next time.
     """
-    if stop_after is None:
-        q = (stream.writeStream.foreachBatch(_versioned(table))
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-        q.awaitTermination()
-        return len(q.recentProgress)
-    q = start_batches(stream, table, checkpoint)
+    write, done, refused = _versioned(table), [], []
+
+    def bounded(batch: DataFrame, batch_id: int) -> None:
+        if stop_after is not None and len(done) >= stop_after:
+            refused.append(batch_id)
+            raise _Enough
+        write(batch, batch_id)
+        done.append(batch_id)
+
+    query = stream.writeStream.foreachBatch(bounded).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
-        while q.isActive:
-            done = [p for p in q.recentProgress if p["numInputRows"] > 0]
-            if len(done) >= stop_after:
-                break
-            time.sleep(poll)
-    finally:
-        q.stop()
-    if q.exception() is not None:
-        raise q.exception()
+        query.awaitTermination()
+    except StreamingQueryException:
+        if not refused:
+            raise
     return len(done)
 
 
