@@ -33,7 +33,7 @@ from tidemark.operators.models import nonnegative_weights
 MAX_VALUES = 1 << 25
 #: Rows times trees that one unit grows, and rows of a block that is predicted at once.
 UNIT_PLACEMENTS, BLOCK_ROWS = 1 << 18, 1 << 16
-FOREST_BINS = 63
+FOREST_BINS = 31
 
 MODEL = "unit int, units int, weight double, start double, body binary, roots binary, n_train long, y_min double, y_max double, n_iter int, best_rounds int, converged boolean, error string"
 

@@ -169,22 +169,28 @@ def forest_sums(nodes: np.ndarray, trees: int, x: np.ndarray) -> np.ndarray:
 def leaf_values(nodes: np.ndarray, roots: np.ndarray, x: np.ndarray) -> np.ndarray:
     """``[root, row]``: value of the leaf that each row reaches."""
     out = np.empty((len(roots), len(x)))
-    block = max(1, (1 << 20) // max(1, len(x)))
+    feature, cut, left, value = [np.ascontiguousarray(nodes[c]) for c in ("feature", "cut", "left", "value")]
+    left = left.astype(np.int64)
+    missing_left = np.ascontiguousarray(nodes["missing_left"]) if np.isnan(x).any() else None
+    flat, width = np.ascontiguousarray(x).ravel(), x.shape[1]
+    block = max(1, (1 << 18) // max(1, len(x)))
     for a in range(0, len(roots), block):
-        at = np.repeat(roots[a : a + block], len(x))
-        row = np.tile(np.arange(len(x)), len(roots[a : a + block]))
-        going = np.arange(len(at))
-        while True:
-            f = nodes["feature"][at[going]]
-            inner = f >= 0
-            going, f = going[inner], f[inner]
-            if not len(going):
-                break
-            here = nodes[at[going]]
-            v = x[row[going], f]
-            right = np.where(np.isnan(v), ~here["missing_left"], v > here["cut"])
-            at[going] = here["left"] + right
-        out[a : a + block] = nodes["value"][at].reshape(-1, len(x))
+        own = roots[a : a + block]
+        at = np.repeat(own, len(x))
+        base = np.tile(np.arange(len(x)) * width, len(own))
+        going = np.flatnonzero(feature[at] >= 0)
+        here, base = at[going], base[going]
+        while len(going):
+            v = flat[base + feature[here]]
+            right = v > cut[here]
+            if missing_left is not None:
+                right = np.where(np.isnan(v), ~missing_left[here], right)
+            here = left[here] + right
+            ended = feature[here] < 0
+            at[going[ended]] = here[ended]
+            stays = ~ended
+            going, here, base = going[stays], here[stays], base[stays]
+        out[a : a + block] = value[at].reshape(-1, len(x))
     return out
 
 

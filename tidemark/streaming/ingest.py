@@ -44,7 +44,7 @@ def _versioned(table: str) -> Callable[[DataFrame, int], None]:
 
 
 #: Parts of an upserted table; a batch rewrites those that its keys fall into.
-UPSERT_BUCKETS = 64
+UPSERT_BUCKETS = 16
 
 
 def upsert(stream: DataFrame, table: str, checkpoint: str, keys: Sequence[str] = RESULT_KEYS, buckets: int = UPSERT_BUCKETS) -> None:
