@@ -39,10 +39,10 @@ def brute(rows):
         epochs = int(goal[s] // sizes[s]) if sizes[s] else 0
         left = int(goal[s]) - epochs * sizes[s]
         for _, _, n, i in own:
-            m = copies[i, n]
-            part = min(max(left, 0), n * m)
-            left -= n * m
-            out += [(i, n, sizes[s], round(goal[s], 6), epochs * n + part // m)] * m
+            for _ in range(copies[i, n]):
+                more = n > 0 and 2 * left >= n
+                left -= n
+                out.append((i, n, sizes[s], round(goal[s], 6), (epochs + more) * n))
     return Counter(out), goal
 
 
@@ -70,14 +70,32 @@ def test_documents(spark):
     docs = frame(spark, rows)
     got = mixing.mix_documents(docs)
     assert got.columns == docs.columns
-    have = defaultdict(int)
+    have, times = defaultdict(int), Counter()
     for r in got.collect():
         have[r.source] += len(words(r.text))
-        assert words(r.text)
+        times[r.doc_id, r.text, r.source] += 1
+    whole = Counter(rows)
+    assert set(times) <= set(whole) and all(n <= 3 * whole[k] for k, n in times.items())  # texts are whole
+    report = Counter()
+    for r in mixing.mix_report(docs).collect():
+        report[r.doc_id] += r.taken
+    by_id = Counter()
+    for (i, t, _), n in times.items():
+        by_id[i] += n * len(words(t))
+    assert by_id == +report
     _, goal = brute(rows)
     assert all(abs(have[s] - g) <= 40 for s, g in goal.items())
 
 
+def test_the_cut_falls_between_copies(spark):
+    rows = [(7, f"{'ab'[k % 2]} copy of ten words in all and some more", "a") for k in range(1000)] + [(1, "b " * 500, "b"), (2, "c " * 400, "c")]
+    want, goal = brute(rows)
+    docs = frame(spark, rows)
+    assert Counter((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in mixing.mix_report(docs).collect()) == want
+    taken = sum(len(words(r.text)) for r in mixing.mix_documents(docs).where("source = 'a'").collect())
+    assert abs(taken - goal["a"]) <= 5 and taken % 10 == 0
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix_report(none).count() == 0 and mixing.mix_documents(none).count() == 0

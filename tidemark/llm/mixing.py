@@ -2,8 +2,9 @@
 
 Every document gets a key that is uniform and depends on its id alone. Within a
 source documents are ordered by that key, a prefix sum of their sizes runs along
-the order, and the mix is cut where the sum meets the source's budget. A budget
-above the source's size takes whole epochs first.
+the order, and the mix is cut where the sum meets the source's budget: documents are
+taken whole, the one that the cut would divide if the half of it fits. A budget above
+the source's size takes whole epochs first.
 
 The order is a range sort: the leading bits of the key name a slice, and each
 source gets as many slices as it has rows for, so the largest source is sorted by
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import WORD, apart, hash60, null_safe, stored, words_in
+from tidemark.llm.tables import apart, hash60, null_safe, stored, words_in
 
 
 def source_targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
@@ -45,14 +46,15 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_
 
 
 def allotments(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, rows_per_slice: int = 4096) -> DataFrame:
-    """Words that the mix takes of every distinct (id, source, size) of ``docs``.
-
-    Returns ``dkey, skey, doc_id, source, size, copies, source_size, target, taken``;
-    ``taken`` counts for each of the copies. Rows that agree in id, source and size
-    are one entry with their number, so repeated rows cannot pile up in one task;
-    where the cut falls into such an entry its copies take equal parts. NULL or
-    empty texts have size 0 and are never taken. NULL ids and sources are values of
-    their own. Other columns of ``docs`` are not read.
+    """How often the mix takes every distinct (id, source, size) of ``docs``.
+
+    Returns ``dkey, skey, doc_id, source, size, copies, source_size, target, epochs,
+    extra``: each copy is taken ``epochs`` times and ``extra`` of them once more. Rows
+    that agree in id, source and size are one entry with their number, so repeated rows
+    cannot pile up in one task; they stand one after another in the prefix sum, and the
+    cut falls between two of them. NULL or empty texts have size 0 and are never taken.
+    NULL ids and sources are values of their own. Other columns of ``docs`` are not
+    read. No documents, no entries.
     """
     rows = docs.select(null_safe(F.col("doc_id")).alias("dkey"), null_safe(F.col("source")).alias("skey"), "doc_id", "source", words_in(F.col("text")).alias("size"))
     entries = stored(rows.groupBy("dkey", "skey", "doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies")), "mix-entries")
@@ -69,34 +71,37 @@ def allotments(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs
     placed = keyed.withColumn("_in", F.coalesce(F.sum("_mass").over(inside), F.lit(0))).join(slices, ["skey", "_slice"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.floor(F.col("target")) - epochs * F.col("source_size")
-    part = F.least(F.greatest(rest - F.col("_base") - F.col("_in"), F.lit(0)), F.col("_mass"))
-    taken = (epochs * F.col("size") + F.floor(part / F.col("copies"))).cast("long")
-    return placed.select("dkey", "skey", "doc_id", "source", "size", "copies", "source_size", "target", taken.alias("taken"))
+    left = rest - F.col("_base") - F.col("_in")
+    whole = F.floor((2 * left + F.col("size")) / (2 * F.col("size")))  # copies of which at least the half fits
+    extra = F.when((F.col("size") > 0) & (left > 0), F.least(F.greatest(whole, F.lit(0)), F.col("copies"))).otherwise(0)
+    return placed.select("dkey", "skey", "doc_id", "source", "size", "copies", "source_size", "target",
+                         epochs.cast("long").alias("epochs"), extra.cast("long").alias("extra"))
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
     """One row per document: ``doc_id, size, source_size, target, taken``."""
     a = allotments(docs, **options)
     each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return a.select("doc_id", "size", "source_size", "target", "taken", each.alias("_copy")).drop("_copy")
+    taken = F.col("size") * (F.col("epochs") + (F.col("_copy") <= F.col("extra")).cast("long"))
+    return a.select("*", each.alias("_copy")).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mixed documents, with the columns of ``docs``.
+    """The mixed documents, with the columns of ``docs``; texts are whole.
 
-    A document taken for several epochs comes once for each; one that the cut
-    divides comes with its first words, joined by single spaces. ``n_chars``
-    follows the text where the column exists.
+    A document taken for several epochs comes once for each. Where the cut falls
+    between rows that agree in id, source and size, the first of them by their texts'
+    hashes are taken once more; only the rows of such entries, one entry a source at
+    most, are ranked.
     """
-    a = allotments(docs, **options).where("taken > 0").select("dkey", "skey", "size", "taken")
-    plain, (doc_id, text, source, n_chars) = apart(docs, "doc_id", "text", "source", "n_chars")
+    a = allotments(docs, **options).where("size > 0 and epochs + extra > 0").select("dkey", "skey", "size", "copies", "epochs", "extra")
+    plain, (doc_id, text, source) = apart(docs, "doc_id", "text", "source")
     marked = plain.withColumns({"dkey": null_safe(F.col(doc_id)), "skey": null_safe(F.col(source)), "size": words_in(F.col(text))})
     both = marked.join(a, ["dkey", "skey", "size"])
-    rest = F.col("taken") % F.col("size")
-    lengths = F.concat(F.array_repeat(F.col("size"), (F.col("taken") / F.col("size")).cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    out = both.withColumn("_len", F.explode(lengths))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), 0), 1, F.col("_len").cast("int")), " ")
-    out = out.withColumn(text, F.when(F.col("_len") == F.col("size"), F.col(text)).otherwise(cut))
-    if n_chars:
-        out = out.withColumn(n_chars, F.length(text).cast(docs.schema["n_chars"].dataType))
+    between = (F.col("extra") > 0) & (F.col("extra") < F.col("copies"))
+    rank = F.row_number().over(W.partitionBy("dkey", "skey", "size").orderBy(F.xxhash64(text), F.xxhash64(*plain.columns)))
+    divided = both.where(between).withColumn("_once", (rank <= F.col("extra")).cast("int"))
+    others = both.where(~between).withColumn("_once", (F.col("extra") > 0).cast("int"))
+    times = (F.col("epochs") + F.col("_once")).cast("int")
+    out = others.unionByName(divided).withColumn("_epoch", F.explode(F.array_repeat(F.lit(1), times)))
     return out.select(*plain.columns).toDF(*docs.columns)

@@ -204,7 +204,7 @@ x AS (
          coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM d JOIN t USING (source))
 SELECT doc_id, size, source_size, target,
-  (CASE WHEN source_size > 0 THEN e * size + least(greatest(floor(target)::BIGINT - e * source_size - before, 0), size) ELSE 0 END)::BIGINT AS taken
+  (CASE WHEN size > 0 THEN (e + CASE WHEN 2 * (floor(target)::BIGINT - e * source_size - before) >= size THEN 1 ELSE 0 END) * size ELSE 0 END)::BIGINT AS taken
 FROM x""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
