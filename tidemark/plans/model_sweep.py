@@ -112,14 +112,15 @@ def cell_facts(sample: S.Sample, sources: Sequence[D.Source], chosen: DataFrame,
 
 
 def model_sweep(sample: S.Sample, sources: Sequence[D.Source], k_grid: Sequence[int], models: Sequence[str], experiment_id: str,
-                task: str = "regression", y: str = "y", done: DataFrame | None = None, seed: int = 0) -> DataFrame:
+                task: str = "regression", y: str = "y", done: DataFrame | None = None, seed: int = 0, metrics: Sequence[str] | None = None) -> DataFrame:
     """Result rows of ``models`` in all cells of the design that are not ``done``.
 
     A row: identity, sizes, the task's metrics, ``k_expanded, k_unobserved, k_varying,
     underdetermined, constant_prediction, converged, n_iter, best_rounds, alpha``,
     ``status`` and ``error``. Cells that the skip rules name are skipped, cells whose fit
     raised or predicted no finite number have failed; neither has metrics. ``done`` holds
-    keys ``model, seed, draw, n, k``. Raises if every cell of a model failed. A cell that
+    keys ``model, seed, draw, n, k``. ``metrics`` names those to compute, all unless
+    given; some that are plain sums take one pass. Raises if every cell of a model failed. A cell that
     is too large for one task has failed here; ``models.fit_cells`` fits such cells.
     """
     spark = sample.train.sparkSession
@@ -165,7 +166,8 @@ def model_sweep(sample: S.Sample, sources: Sequence[D.Source], k_grid: Sequence[
             raise RuntimeError(f"{name}: no cell could be fitted: {bad.first()['error']}")
         errors.append(bad.select(F.lit(name).alias("model"), *CELL, "error"))
         preds.append(own.select(F.lit(name).alias("model"), *CELL, "row_id", F.col("label").alias("y_true"), "y_pred"))
-    linear = [m for m in models if wanted[m].kind == "linear"]
+    open_models = {r[0] for r in design.where("skipped is null").select("model").distinct().collect()}  # of the caller's list
+    linear = [m for m in models if wanted[m].kind == "linear" and m in open_models]
     if linear:
         swept = S.linear_sweep(sample, sources, k_grid, linear, y)
         runnable = design.where(F.col("model").isin(linear) & F.col("skipped").isNull()).select("model", *CELL)
@@ -185,11 +187,13 @@ def model_sweep(sample: S.Sample, sources: Sequence[D.Source], k_grid: Sequence[
     mean = sample.train.groupBy(*BY).agg(F.avg(F.col(y).cast("double")).alias("_mean"))
     scored = I.join_cells(scored, mean, BY, sample.n_cells)
     if task == "regression":
-        table = M.regression_metrics(scored.withColumnRenamed("_mean", "train_mean"), by)
-        names = M.REGRESSION_METRICS
+        given, every, sums = scored.withColumnRenamed("_mean", "train_mean"), M.REGRESSION_METRICS, set(M.regression_aggregates())
+        simple, full = M.simple_regression, M.regression_metrics
     else:
-        table = M.classification_metrics(scored.withColumn("score", F.col("y_pred")).withColumnRenamed("_mean", "train_pos_rate"), by)
-        names = M.CLASSIFICATION_METRICS
+        given = scored.withColumn("score", F.col("y_pred")).withColumnRenamed("_mean", "train_pos_rate")
+        every, sums, simple, full = M.CLASSIFICATION_METRICS, set(M.classification_aggregates()), M.simple_classification, M.classification_metrics
+    names = list(every if metrics is None else metrics)
+    table = simple(given, by, names) if set(names) <= sums else full(given, by)
     broken = scored.groupBy(*by).agg(F.bool_or(~M.finite(F.col("y_pred"))).alias("_broken"))
     failed = union(errors, f"{keys}, error string").groupBy(*by).agg(F.min("error").alias("_error"))
     found = union(notes, f"{keys}, converged boolean, n_iter int, best_rounds int, alpha double")
@@ -214,7 +218,11 @@ def resume_sweep(sample: S.Sample, sources: Sequence[D.Source], k_grid: Sequence
     done = None
     if H.batches(spark, shards):
         index = R.prefer_completed(R.rows_for_experiment(H.read_shards(spark, shards, [*R.RESULT_KEYS, "status", "seq"]), experiment_id))
-        done = R.completed_keys(index)
+        done = _written(R.completed_keys(index), "sweep-done")
+        pairs = D.repeat_pairs(spark, pairs=[(s, d) for s in sample.seeds for d in sample.draws])
+        cells = D.design_cells(pairs, models, sample.n_grid, k_grid).select("model", *CELL)
+        if cells.join(done, ["model", *CELL], "left_anti").isEmpty():
+            return 0
     rows = model_sweep(sample, sources, k_grid, models, experiment_id, done=done, **options)
     rows = _written(rows.withColumn("seq", F.lit(len(H.batches(spark, shards))).cast("bigint")), "sweep-batch")
     H.append_batch(rows, shards, batch)
