@@ -103,3 +103,12 @@ def test_estimate_rarely_discards_a_pair_at_the_limit():
     n, p = near_dup.BANDS * near_dup.ROWS, near_dup.SIMILARITY
     lost = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1) if i / n < p - near_dup.MARGIN - 1e-9)
     assert lost < 1e-5
+
+
+def test_built_words_that_collide_modulo_a_power_of_two(spark):
+    bits = [bin(k).count("1") & 1 for k in range(1 << 11)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    plain = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(x if k % 6 == 0 else w for k, w in enumerate(plain))) for i, x in ((1, one), (2, two), (3, one))]
+    got = near_dup.near_classes(table(spark, rows))
+    assert {r.doc_id: r.class_id for r in got.collect()} == {1: 1, 2: 2, 3: 1}

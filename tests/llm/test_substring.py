@@ -83,3 +83,22 @@ def test_automaton_finds_longest_matches():
         parts = {tuple(s[a:b]) for s in seen for a in range(len(s)) for b in range(a + 1, len(s) + 1)}
         want = [max((k for k in range(1, i + 2) if tuple(q[i + 1 - k : i + 1]) in parts), default=0) for i in range(len(q))]
         assert machine.matches(q) == want
+
+
+def test_built_words_that_collide_modulo_a_power_of_two(spark):
+    """Two documents of 60 words that differ in ten copy no window of each other."""
+    bits = [bin(k).count("1") & 1 for k in range(1 << 11)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    plain = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(one if k % 6 == 0 else w for k, w in enumerate(plain))), (2, " ".join(two if k % 6 == 0 else w for k, w in enumerate(plain)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.dedup_substrings(docs).collect()} == {1: 0, 2: 0}
+
+
+def test_a_text_above_a_slice(spark):
+    rng = random.Random(8)
+    long = " ".join(f"word{rng.randrange(10**6)}" for _ in range(150_000))  # 1.6 MB: a slice of its own
+    rows = [(1, "x " + long[:2000]), (2, long), (3, None)]
+    docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, n_removed int")
+    got = sorted(tuple(r) for r in substring.dedup_substrings(docs).collect())
+    assert got == brute(rows, 50) and got[1][2] > 0
