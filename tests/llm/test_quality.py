@@ -1,5 +1,6 @@
 """The classifier's held-out accuracy, its contract and its edges."""
 
+import math
 import zlib
 
 import numpy as np
@@ -57,3 +58,35 @@ def test_edges(spark):
     assert quality.keep_quality(docs, none).columns == docs.columns
     assert quality.keep_quality(docs, none).count() == 4
     assert quality.quality_report(docs.limit(0), none).count() == 0
+
+
+def test_training_is_ftrl_by_plain_loops():
+    """Follow-the-regularised-leader, coordinate by coordinate."""
+    s = quality.Settings(bits=10, epochs=2)
+    texts = ["good clear words here", "BAD!! bad!! $$$", "more clear words", "", "$$$ BAD BAD", "clear here"] * 3
+    labels = [1, 0, 1, 1, 0, 1] * 3
+    z, n = {}, {}
+
+    def weight(k):
+        if k == "bias":
+            return -z.get(k, 0.0) / ((s.beta + math.sqrt(n.get(k, 0.0))) / s.alpha)
+        v = z.get(k, 0.0)
+        if abs(v) <= s.l1:
+            return 0.0
+        return -(v - math.copysign(s.l1, v)) / ((s.beta + math.sqrt(n.get(k, 0.0))) / s.alpha + s.l2)
+
+    for _ in range(s.epochs):
+        for t, y in zip(texts, labels):
+            raw = t.encode()
+            slot = quality.ngrams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), s.bits)[0].tolist()
+            x = {k: slot.count(k) * s.scale / len(slot) for k in set(slot)} | {"bias": 1.0}
+            w = {k: weight(k) for k in x}
+            g = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items()))) - y
+            for k, v in x.items():
+                was = n.get(k, 0.0)
+                n[k] = was + (g * v) ** 2
+                z[k] = z.get(k, 0.0) + g * v - (math.sqrt(n[k]) - math.sqrt(was)) / s.alpha * w[k]
+    weights, bias = quality.train(pa.array(texts), np.array(labels), s)
+    assert bias == pytest.approx(weight("bias"), rel=1e-4)
+    want = np.array([weight(k) if k in z else 0.0 for k in range(1 << s.bits)])
+    np.testing.assert_allclose(weights, want, rtol=1e-3, atol=1e-5)
