@@ -12,6 +12,7 @@ from tidemark.operators import checks as V
 from tidemark.operators import design as D
 from tidemark.operators import joins as J
 from tidemark.operators import results as R
+from tidemark.plans import publish as PB
 
 K6 = "experiment_id, model, seed, draw, n, k"
 BEST_SQL = f"""{views.CKPT_SQL}, best AS (SELECT * FROM ckpt QUALIFY row_number() OVER (PARTITION BY {K6}
@@ -621,3 +622,23 @@ def contract_diff(spark, d):
     left = V.flatten_paths(document(F.lit("v1"), user), "event_id", "doc")
     right = V.flatten_paths(document(F.when(eid % 3 == 0, "v2").otherwise("v1"), F.when(eid % 5 == 0, user + 1).otherwise(user)), "event_id", "doc")
     return V.contract_diff(left, right, "event_id")
+
+
+@query("manifest_faults", f"""WITH {views.CKPT_SQL}, s AS (SELECT DISTINCT CASE WHEN seed < 3 THEN 'early' ELSE 'late' END AS panel, model, seed FROM ckpt), f AS (SELECT min(model) AS first FROM ckpt)
+SELECT panel, model, 'missing_shard' AS fault, '4' AS example FROM s WHERE seed = 4
+UNION ALL SELECT 'early', first, 'contract', 'code.version' FROM f
+UNION ALL SELECT 'early', NULL, 'panel_contract', 'code.version'
+UNION ALL SELECT 'late', NULL, 'header', 'model,rmse'""")
+def manifest_faults(spark, d):
+    """Planted: no shard of seed 4, another version in one shard of a model, another header in one panel."""
+    panel = F.when(F.col("seed") < 3, "early").otherwise("late")
+    rows = views.ckpt(spark, d).withColumn("panel", panel)
+    expected = rows.select("panel", "model", "seed").distinct()
+    first = rows.agg(F.min("model").alias("_first"))  # one row
+    odd = (F.col("model") == F.col("_first")) & (F.col("seed") == 1)
+    version = F.when(odd, "v2").otherwise("v1")
+    grid = F.struct(F.lit("10,100").alias("n_grid"), F.lit("1,3").alias("k_grid"))
+    contract = F.to_json(F.struct(F.col("model").alias("model"), F.struct(version.alias("version")).alias("code"), grid.alias("design")))
+    header = F.when((F.col("panel") == "late") & (F.col("model") == F.col("_first")), F.array(F.lit("model"), F.lit("rmse"))).otherwise(F.array(F.lit("model"), F.lit("rmse"), F.lit("seed")))
+    shards = expected.where("seed <> 4").join(F.broadcast(first)).select("panel", "model", "seed", contract.alias("contract"), header.alias("header"))
+    return PB.manifest_faults(shards, expected)
