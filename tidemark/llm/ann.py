@@ -23,7 +23,10 @@ from tidemark.llm.tables import stored
 
 SHARD_ROWS, LEAST_SHARDS = 50_000, 8
 QUERY_BLOCK = 4096
-BEAM = 96
+BEAM, WIDEST = 96, 384
+#: Queries of a block whose answers are measured, and the share of true answers asked of them.
+PROBES, RECALL = 64, 0.95
+SCAN_QUERIES, SCAN_NODES = 64, 8192
 #: Largest components in a shard differ by less than this power of two.
 CLASS_BITS = 4
 
@@ -66,35 +69,81 @@ def index(rows: DataFrame, most: int) -> DataFrame:
     return stored(dealt.repartition("g").sortWithinPartitions("g", "vec_id").mapInArrow(run, schema), "ann-index")
 
 
-def _best(q_ids: np.ndarray, q: np.ndarray, row: dict, k: int, beam: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _scan(v: np.ndarray, unit: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """For each row of ``unit``, the nodes whose product may be among the ``most`` largest.
+
+    Products summed in another order differ by rounding only, so nodes within that
+    distance of the last place are in as well.
+    """
+    scale = np.abs(v).max()
+    size = np.sqrt(v.shape[1])
+    for s in range(0, len(unit), SCAN_QUERIES):
+        ask = unit[s : s + SCAN_QUERIES]
+        products = np.empty((len(ask), len(v)))
+        for at in range(0, len(v), SCAN_NODES):
+            products[:, at : at + SCAN_NODES] = ask @ (v[at : at + SCAN_NODES] / scale).T
+        for row, q in zip(products, ask):
+            last = np.partition(row, -most)[-most] if most < len(row) else -np.inf
+            slack = 4 * np.finfo(float).eps * v.shape[1] * size * np.sqrt(q @ q)
+            yield np.flatnonzero(row >= last - slack)
+
+
+def _walk(g: vamana.Graph, asked: np.ndarray, beam: int) -> Iterator[np.ndarray]:
+    """For each row of ``asked``, the nodes that a beam search ends with."""
+    for s in range(0, len(asked), vamana.BATCH):
+        for nodes in vamana.search(g.points, g.edges, g.start, asked[s : s + vamana.BATCH], beam)[0]:
+            yield nodes[nodes >= 0]
+
+
+def _beam(g: vamana.Graph, v: np.ndarray, unit: np.ndarray, asked: np.ndarray, k: int, beam: int, widest: int, recall: float) -> int | None:
+    """The narrowest beam, by doubling, with which sampled queries find ``recall`` of their
+    ``k`` best nodes; None if ``widest`` does not reach it.
+    """
+    probe = np.unique(np.linspace(0, len(unit) - 1, min(PROBES, len(unit))).astype(int))
+    true = list(_scan(v, unit[probe], min(k, len(v))))
+    wanted = sum(min(k, len(t)) for t in true)
+    while True:
+        found = _walk(g, asked[probe], beam)
+        hits = sum(min(k, len(np.intersect1d(t, nodes))) for t, nodes in zip(true, found))
+        if hits >= recall * wanted:
+            return beam
+        if beam >= widest:
+            return None
+        beam = min(2 * beam, widest)
+
+
+def _best(q_ids: np.ndarray, q: np.ndarray, row: dict, k: int, beam: int, widest: int, recall: float) -> Iterator[tuple[np.ndarray, ...]]:
     """For each query, position, ids and scores of its ``k`` best in a shard."""
     v = np.frombuffer(row["vectors"]).reshape(row["n"], -1)
-    edges = np.frombuffer(row["edges"], np.int32).reshape(row["n"], -1)
     ids, id_at = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["id_at"], np.int64)
-    points = vamana.lift(v)
+    g = vamana.Graph(vamana.lift(v), np.frombuffer(row["edges"], np.int32).reshape(row["n"], -1), row["start"])
     unit = q / np.abs(q).max(axis=1, keepdims=True)
     size = np.sqrt(np.einsum("ij,ij->i", unit, unit))
     asked = np.concatenate([unit / size[:, None], np.zeros((len(q), 1))], axis=1).astype(np.float32)
-    for s in range(0, len(q), vamana.BATCH):
-        found, _ = vamana.search(points, edges, row["start"], asked[s : s + vamana.BATCH], max(beam, 2 * k))
-        for i, nodes in enumerate(found, start=s):
-            nodes = nodes[nodes >= 0]
-            score = np.cumsum(v[nodes] * q[i], axis=1)[:, -1]  # summed in order, like a plain loop
-            count = id_at[nodes + 1] - id_at[nodes]
-            near = np.concatenate([ids[a:b] for a, b in zip(id_at[nodes], id_at[nodes + 1])])
-            score = np.repeat(score, count)
-            other = near != q_ids[i]
-            near, score = near[other], score[other]
-            order = np.lexsort((near, -score))[:k]
-            yield np.full(len(order), i), near[order], score[order]
-
-
-def nearest(rows: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    beam = max(beam, 2 * k)
+    enough = _beam(g, v, unit, asked, k, beam, max(beam, widest), recall)
+    # One node more than asked for, as the query's own may be among them.
+    found = _walk(g, asked, enough) if enough else _scan(v, unit, min(k + 1, len(v)))
+    for i, nodes in enumerate(found):
+        score = np.cumsum(v[nodes] * q[i], axis=1)[:, -1]  # summed in order, like a plain loop
+        count = id_at[nodes + 1] - id_at[nodes]
+        near = np.concatenate([ids[a:b] for a, b in zip(id_at[nodes], id_at[nodes + 1])])
+        score = np.repeat(score, count)
+        other = near != q_ids[i]
+        near, score = near[other], score[other]
+        order = np.lexsort((near, -score))[:k]
+        yield np.full(len(order), i), near[order], score[order]
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, shard_rows: int = SHARD_ROWS, widest: int = WIDEST, recall: float = RECALL) -> DataFrame:
     """The ``k`` nearest of ``rows(vec_id, v)`` for every row of ``queries(vec_id, v)``.
 
     ``v`` is an array of doubles. Returns ``query_id, rank, vec_id, score``, by score,
     ties to the smaller id. A row with the query's own id is no candidate; a vector
     of another length is none either. Rows that repeat in id and vector count once.
+    Without rows or queries the result is empty. A block of queries searches a shard with
+    a beam of ``beam`` to ``widest`` nodes, as measured ``recall`` requires, and reads all
+    its nodes if ``widest`` finds too little (``recall`` above 1: always).
     """
     largest = F.array_max(F.transform("v", F.abs))
     sized = rows.withColumn("size", F.floor(F.log2(largest) / CLASS_BITS).cast("int"))
@@ -126,7 +175,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, shard
             row = t.slice(0, 1).select(["start", "n", *parts]).to_pylist()[0]
             asks = t.slice(1)
             q_ids, q = asks.column("vec_id").to_numpy(), _matrix(asks.column("v"))
-            at, near, score = (np.concatenate(c) for c in zip(*_best(q_ids, q, row, k, beam)))
+            at, near, score = (np.concatenate(c) for c in zip(*_best(q_ids, q, row, k, beam, widest, recall)))
             yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(asks.column("qx").to_numpy()[at]), pa.array(near), pa.array(score)], names=["query_id", "qx", "vec_id", "score"])
 
     found = together.mapInArrow(run, schema)
