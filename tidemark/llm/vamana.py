@@ -1,6 +1,6 @@
 """A robust-pruned directed graph over vectors, built and searched in lockstep.
 
-Searches of many queries advance together: each step expands the nearest open node
+Searches of many queries advance together: each step expands the nearest open nodes
 of every query's beam. Building inserts points in batches of growing size: a greedy
 search proposes neighbours, relaxed pruning keeps those that no kept neighbour
 covers, and reverse edges are pruned the same way. Distances are squared Euclidean;
@@ -15,6 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 
 DEGREE, BEAM, ALPHA, BATCH = 28, 56, 1.2, 512
+#: Nodes of a beam that a step expands.
+WIDTH = 4
 
 
 @dataclass
@@ -43,13 +45,22 @@ def search(points: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarra
     dist[:, 0] = ((queries - points[start]) ** 2).sum(axis=1)
     live = np.arange(n)
     while len(live):
-        pick = open_[live].argmax(axis=1)  # beams are sorted
-        near = edges[ids[live, pick]]
-        open_[live, pick] = False
-        fresh = (near >= 0) & ~seen[live[:, None], near]
-        seen[live[:, None], np.where(near >= 0, near, start)] = True
-        gap = points[near] - queries[live, None, :]
-        d = np.where(fresh, np.einsum("qrd,qrd->qr", gap, gap), np.inf).astype(np.float32)
+        # The nearest WIDTH open nodes of a beam, which is sorted; a beam with fewer takes none twice.
+        at = np.argsort(~open_[live], axis=1, kind="stable")[:, :WIDTH]
+        taken = np.take_along_axis(open_[live], at, 1)
+        np.put_along_axis(still := open_[live], at, False, 1)
+        open_[live] = still
+        near = np.where(taken[:, :, None], edges[np.take_along_axis(ids[live], at, 1)], -1)
+        fresh = np.zeros(near.shape, bool)
+        for w in range(near.shape[1]):  # the second of two nodes with a common neighbour has seen it
+            to = np.where(near[:, w] >= 0, near[:, w], start)
+            fresh[:, w] = ~seen[live[:, None], to]
+            seen[live[:, None], to] = True
+        near, fresh = near.reshape(len(live), -1), fresh.reshape(len(live), -1)
+        row, col = np.nonzero(fresh)
+        gap = points[near[row, col]] - queries[live[row]]
+        d = np.full(near.shape, np.inf, np.float32)
+        d[row, col] = np.einsum("ij,ij->i", gap, gap)
         both = np.concatenate([dist[live], d], axis=1)
         order = np.argsort(both, axis=1, kind="stable")[:, :beam]
         dist[live] = np.take_along_axis(both, order, 1)
@@ -73,7 +84,9 @@ def prune(points: np.ndarray, of: np.ndarray, found: np.ndarray, degree: int, al
     same = np.zeros(found.shape, bool)
     same[:, 1:] = (found[:, 1:] == found[:, :-1]) & (found[:, 1:] >= 0)
     d[same] = np.inf
-    p = points[found]
+    # Relative to the node: what rounding takes is small against the distances compared.
+    p = points[found] - own[:, None, :]
+    products = p @ p.transpose(0, 2, 1)
     alive = np.isfinite(d)
     out = np.full((len(of), degree), -1, np.int32)
     rows = np.arange(len(of))
@@ -83,8 +96,8 @@ def prune(points: np.ndarray, of: np.ndarray, found: np.ndarray, degree: int, al
         if not has.any():
             break
         out[has, k] = found[rows[has], pick[has]]
-        gap = p - p[rows, pick][:, None, :]  # of differences: close points keep their digits
-        alive &= ~(has[:, None] & (alpha * alpha * np.einsum("qcd,qcd->qc", gap, gap) <= d))
+        between = d[rows, pick][:, None] + d - 2 * products[rows, pick]
+        alive &= ~(has[:, None] & (alpha * alpha * between <= d))
         alive[rows, pick] = False
     return out
 
