@@ -174,3 +174,49 @@ def test_stacks(spark):
         assert len(oof) == len(cells[r.cell][1]) and min(r.weights) >= 0
         gaps = np.array([t.label - r.intercept - np.dot(t.features, r.weights) for t in oof])
         assert abs(gaps.mean()) < 1e-9 and gaps.var() <= min(np.var([t.label - t.features[k] for t in oof]) for k in range(3)) + 1e-9
+
+
+@pytest.mark.parametrize("random", [False, True])
+def test_forests_are_scored_where_they_grow(spark, monkeypatch, random):
+    cells = {1: data(300, 1), 2: data(40, 2), 3: (np.zeros((10, 5)), np.arange(10.0)), 4: (np.full((9, 5), np.nan), np.arange(9.0))}
+    train, test = frame(spark, cells), frame(spark, {c: data(60, 10 + c) for c in cells})
+    kind = C._forest(20, 5, 20, random, False)
+    monkeypatch.setattr(C, "UNIT_WORK", 2000)
+    monkeypatch.setattr(C, "UNIT_PLACEMENTS", 900)
+    monkeypatch.setattr(C, "CHUNK_ROWS", 128)
+    forests = C.forest_cells(train, test, ["cell"], kind, 3, True, lambda df, name: df.persist())
+    # Nothing that is written grows with the trees: one sum per row, chunk and unit.
+    assert set(forests.parts.columns).isdisjoint({"body", "roots"}) and forests.parts.where("cell = 1 and chunk >= 0").count() == 3 * (3 + 1)
+    told = {r.cell: r for r in forests.reports().collect()}
+    assert told[4].error == "a feature is missing" and all(told[c].trees == 20 and told[c].error is None for c in (1, 2, 3))
+    preds, own = forests.predictions().toPandas(), forests.predictions(train=True).toPandas()
+    assert preds.groupby("cell").size().to_dict() == {1: 60, 2: 60, 3: 60} and own.groupby("cell").size().to_dict() == {1: 300, 2: 40, 3: 10}
+    error = ((preds.label - preds.y_pred) ** 2).groupby(preds.cell).mean()
+    assert error[1] < 3 and preds[preds.cell == 3].y_pred.nunique() == 1
+    if random:
+        assert all(told[c].leaf_rows == 20 * len(cells[c][1]) for c in (1, 2, 3)) and abs((own.label - own.y_pred).groupby(own.cell).mean()).max() < 1e-9
+    again = C.forest_cells(train.repartition(5), test.repartition(2), ["cell"], kind, 3).predictions().toPandas()
+    key = ["cell", "row_id"]
+    assert (preds.sort_values(key).y_pred.to_numpy() == again.sort_values(key).y_pred.to_numpy()).all()
+
+
+def test_cuts_by_bins_are_cuts_by_values():
+    x, y = data(300, 4)
+    binned = T.Binned.of(x, C.FOREST_BINS)
+    nodes = T.grow_forest(binned, y, np.ones((4, 300)), 5, 20, 1)
+    other = data(200, 5)[0]
+    by_value = T.leaf_values(nodes, np.arange(4), other)
+    nodes["cut"] = T.code_cuts(nodes, binned.edges)
+    assert (T.leaf_values(nodes, np.arange(4), binned.codes_of(other).T) == by_value).all()
+
+
+def test_rows_of_the_same_bins_grow_the_same_trees_as_one():
+    x, y = data(600, 6)
+    x = np.round(x[:, :3])
+    binned, weights = T.Binned.of(x, C.FOREST_BINS), T.bootstrap_weights(rng.integers(0, 1 << 62, 600).astype(np.uint64), np.arange(5), 1)
+    grouped = T.Grouped.of(binned, y)
+    assert grouped.data.codes.shape[1] == len(np.unique(x, axis=0)) < 200
+    for random, w in ((False, weights), (True, np.ones((5, 600)))):
+        one, other = T.grow_forest(binned, y, w, 5, 20, 2, random), grouped.grow(lambda t: w[t], range(5), 5, 20, 2, random)
+        assert (one["feature"] == other["feature"]).all() and (one["cut"] == other["cut"]).all() and (one["count"] == other["count"]).all()
+        np.testing.assert_allclose(one["value"], other["value"], rtol=1e-9)
