@@ -54,3 +54,17 @@ def test_features_of_the_first_sources(spark):
     two = {r.row_id: r.features for r in got.where("k = 2").collect()}
     own = {r.row_id: r.x for r in s.train.collect()}
     assert len(one) == 10 and all(two[i] == [own[i][p] for p in sorted(order)] for i in own)
+
+
+def test_the_smallest_sample_holds_every_class(spark):
+    rows = spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(400)], "row_id long, y int")
+    s = S.sample_rows(rows, "y", list(range(8)), [0, 1], 0.2, min_n=5, stratified=True)
+    got = s.train.groupBy("seed", "draw", "n").agg(F.count_distinct("row_id").alias("c"), F.count_distinct("y").alias("classes")).collect()
+    assert len(got) == 8 * 2 * 4 and all(r.c == r.n and r.classes == 2 for r in got)
+    # Only repeats whose first rows were of one class changed, by two rows.
+    plain = S.D.row_ranks(s.held[0].select("row_id", "y", "seed").distinct(), [0, 1])
+    both = plain.select("seed", "draw", "row_id", F.col("rk").alias("was")).join(S.D.swap_ranks(s.held[0], s.held[2]), ["seed", "draw", "row_id"])
+    moved = both.where("rk <> was").groupBy("seed", "draw").count().collect()
+    lacking = {(r.seed, r.draw) for r in plain.where("rk <= 5").groupBy("seed", "draw").agg(F.max("y").alias("m")).where("m = 0").collect()}
+    assert {(r.seed, r.draw) for r in moved} == lacking and len(lacking) > 5 and {r["count"] for r in moved} == {2}
+    s.release()
