@@ -5,6 +5,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import metrics as M
 
 
@@ -83,3 +85,17 @@ def test_classification(spark):
     assert got["a"]["pr_auc"] == pytest.approx(ap)
     assert got["one"]["roc_auc"] is None and got["one"]["log_loss"] is None and got["one"]["accuracy"] == 1.0
     assert all(got["inf"][m] is None for m in M.CLASSIFICATION_METRICS)
+
+
+def test_exploded_rows_are_never_broadcast(spark, tmp_path):
+    """A small file whose rows are exploded looks small to the planner; only one row per cell may be sent."""
+    spark.range(2000).select((F.col("id") * 1.5).alias("y_true")).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows")).withColumn("cell", F.explode(F.array(F.lit(1), F.lit(2))))
+    rows = rows.withColumn("y_pred", F.col("y_true") % 97 + F.col("cell")).withColumn("train_mean", F.lit(9.0))
+    for run in (lambda: M.d2_absolute_error(rows, ["cell"], 2), lambda: M.decile_hits(rows, ["cell"], 2), lambda: M.medae(rows, ["cell"], 2)):
+        plan = run()._jdf.queryExecution().executedPlan().toString()
+        sides = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+        assert sides and all("BuildRight" in line for line in sides)
+    for run in (lambda: M.spearman(rows, ["cell"]), lambda: M.kendall(rows, ["cell"])):
+        plan = run()._jdf.queryExecution().executedPlan().toString()
+        assert not any("BroadcastHashJoin" in line and ("y_pred" in line or "y_true" in line) and "LeftOuter" not in line for line in plan.splitlines())
