@@ -118,3 +118,13 @@ def test_carry_forward_and_ties(spark):
     assert dict(R.carry_forward(cur, old, "model", ["t"]).collect()) == {"a": 7.0, "b": 2.0}
     scores = spark.createDataFrame([(3, 0, 1.0), (1, 0, 1.0), (2, 0, 5.0)], "alpha int, fold int, s double")
     assert R.cv_argmin(scores.withColumn("g", F.lit(1)), ["g"], "alpha", "s").first()["alpha"] == 1
+
+
+def test_many_batches_are_written_by_one_job(spark, tmp_path):
+    path = str(tmp_path / "many")
+    rows = spark.range(900).select((F.col("id") % 7).alias("key"), F.col("id").alias("seq"), F.col("id").alias("value"), F.lit("ok").alias("status")).repartition(5)
+    H.append_batches(rows, path, F.lpad(F.floor(F.col("seq") / 100).cast("string"), 9, "0"), "seq")
+    assert H.batches(spark, path) == [f"batch={i:09d}" for i in range(9)]
+    assert all(len(list((tmp_path / "many" / b).glob("*.parquet"))) == 1 for b in H.batches(spark, path))
+    got = R.prefer_completed(H.in_shard_order(spark, path), ["key"]).collect()
+    assert {r.key: r.value for r in got} == {v % 7: v for v in range(893, 900)}

@@ -88,11 +88,8 @@ SELECT {K6}, status, rmse FROM last WHERE r = 1""")
 def shards_without_seq(spark, d):
     """Shards of rows without a sequence number: files and places in them decide which row is the latest."""
     rows, path = views.ckpt(spark, d), scratch_path(spark, "unnumbered")
-    shard = F.floor(F.col("seq") / 2500).cast("int")
-    for i in range(rows.agg(F.max(shard)).first()[0] + 1):
-        own = rows.where(shard == i).repartitionByRange(1, "seq").sortWithinPartitions("seq")
-        H.append_batch(own.drop("seq"), path, f"{i:012d}")
-    return R.prefer_completed(H.in_shard_order(spark, path)).select(*R.RESULT_KEYS, "status", "rmse")
+    H.append_batches(rows, path, F.lpad(F.floor(F.col("seq") / 2500).cast("string"), 12, "0"), "seq")
+    return R.prefer_completed(H.in_shard_order(spark, path, schema=rows.drop("seq").schema)).select(*R.RESULT_KEYS, "status", "rmse")
 
 
 @query("compact_shards", f"WITH {BEST_SQL} SELECT {ROW} FROM best")

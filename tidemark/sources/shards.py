@@ -34,6 +34,12 @@ def append_batch(rows: DataFrame, path: str, label: str) -> bool:
     return True
 
 
+def append_batches(rows: DataFrame, path: str, label: Column, order: str) -> None:
+    """Write many batches in one job: a shard of one file per ``label``, its rows by ``order``, which is not written."""
+    tagged = rows.withColumn("batch", label).repartition("batch").sortWithinPartitions("batch", order)
+    tagged.drop(order).write.mode("append").partitionBy("batch").parquet(path)
+
+
 def read_shards(spark: SparkSession, path: str, columns: list[str] | None = None,
                 schema: StructType | str | None = None) -> DataFrame:
     """All shards; with ``columns`` only those are read. A given schema skips the footers."""
