@@ -220,3 +220,41 @@ def test_rows_of_the_same_bins_grow_the_same_trees_as_one():
         one, other = T.grow_forest(binned, y, w, 5, 20, 2, random), grouped.grow(lambda t: w[t], range(5), 5, 20, 2, random)
         assert (one["feature"] == other["feature"]).all() and (one["cut"] == other["cut"]).all() and (one["count"] == other["count"]).all()
         np.testing.assert_allclose(one["value"], other["value"], rtol=1e-9)
+
+
+@pytest.mark.parametrize("name", ["boosted", "boosted_leaf", "boosted_classifier", "boosted_leaf_classifier"])
+def test_boosted_trees_from_packed_rows_are_those_of_plain_rows(spark, name):
+    kind = C.KINDS[name]
+    cells = {}
+    for c, n in ((1, 30), (2, 900)):
+        x, y = data(n, c)
+        x[::7, 0] = x[::5, 2] = np.nan
+        cells[c] = (x, (y > 0).astype(float) if kind.classifier else y)
+    train, test = frame(spark, cells), frame(spark, {c: (x[:40], y[:40]) for c, (x, y) in cells.items()})
+    forests = C.forest_cells(train, test, ["cell"], kind, 3, True, lambda df, label: df.persist())
+    models = C.fit_cells(train, ["cell"], kind, 3).persist()
+    assert {r.cell: r.best_rounds for r in forests.reports().collect()} == {r.cell: r.best_rounds for r in models.collect()}
+    for rows, got in ((test, forests.predictions()), (train, forests.predictions(train=True))):
+        want = {(r.cell, r.row_id): r.y_pred for r in C.predict_cells(models, rows, ["cell"], kind).collect()}
+        found = {(r.cell, r.row_id): r.y_pred for r in got.collect()}
+        assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_boosted_trees_of_a_task_take_more_values(spark, monkeypatch):
+    train = frame(spark, {1: data(30)})
+    monkeypatch.setattr(C, "MAX_VALUES", 149)
+    assert not C.oversized(train, ["cell"]).isEmpty() and C.oversized(train, ["cell"], kind=C.KINDS["boosted"]).isEmpty()
+
+
+def test_features_of_few_bins_are_counted_together():
+    r = np.random.default_rng(5)
+    x = np.column_stack([r.random(500), r.integers(0, 12, 500), *[r.integers(0, 2, 500) for _ in range(3)]]).astype(float)
+    x[::9, 1] = x[::4, 3] = np.nan
+    binned = T.Binned.of(x, 255)
+    g, h, rows = r.normal(size=500), r.random(500), np.flatnonzero(r.random(500) < 0.5)
+    assert len(binned.bundles()) == 2
+    for own in (None, h):
+        hist = T._histogram(binned, rows, g, own)
+        for f in range(5):
+            for k, w in enumerate((np.ones(500), g, np.ones(500) if own is None else own)):
+                assert hist[k, f] == pytest.approx(np.bincount(binned.codes[f, rows], w[rows], binned.bins))
