@@ -68,3 +68,24 @@ def test_standardize_constant(spark):
     df = I.assemble(spark.createDataFrame([(1, 5.0, 1.0), (1, 5.0, 3.0)], "cell int, a double, b double"), ["a", "b"])
     got = sorted(r["x"] for r in I.standardize(df, ["cell"]).collect())
     assert got == [[0.0, -1.0], [0.0, pytest.approx(1.0)]]
+
+
+def test_compiled_manifests_give_what_walked_ones_give(spark, monkeypatch):
+    sources = [Source("a", "continuous", ["a"]), Source("m", "ordinal", ["m"], ordinal_levels=[2.0, 1.0]),
+               Source("g", "onehot_group", ["g0", "g1"], level_values=["0", "1"], reference_level="0", reference_feature="g0"),
+               Source("d", "onehot_group", ["d0"], level_values=["0"], reference_level="r", drop_first=True), Source("u", "continuous", ["u"])]
+    rows = [(c, [float(i) if i % 3 else None, [1.0, 2.0, None][i % 3], *([None, None] if i % 5 == 0 else [[1.0, 0.0], [0.0, 1.0]][i % 2]),
+                 None if i % 4 == 0 else float(i % 3 == 0), None if c else float(i)]) for c in (0, 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "cell int, x array<double>")
+
+    def found():
+        fills = I.fit_fills(df, ["cell"], sources)
+        packed = I.pack_fills(fills, ["cell"])
+        out = [I.units(df, ["cell"], sources), fills, *[I.apply_fills(df, packed, ["cell"], sources, p) for p in (False, True)]]
+        return [sorted(map(str, part.collect())) for part in out], [[f.dataType for f in part.schema] for part in out]
+
+    (compiled, types), plan = found(), I.apply_fills(df, I.pack_fills(I.fit_fills(df, ["cell"], sources), ["cell"]), ["cell"], sources)
+    assert "lambda" not in plan._jdf.queryExecution().analyzed().toString().split("Join")[0]  # nothing is walked row by row
+    monkeypatch.setattr(I, "MAX_COMPILED_FEATURES", 0)
+    walked, other = found()
+    assert compiled == walked and [str(t) for t in types] == [str(t) for t in other]
