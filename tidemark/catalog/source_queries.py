@@ -73,7 +73,7 @@ def shard_dir(spark, d, parts: int = 6):
     path = scratch_path(spark, "shards")
     rows = views.ckpt(spark, d)
     (rows.withColumn("batch", F.format_string("%03d", (F.col("seq") % parts).cast("int")))
-     .repartition("batch").write.partitionBy("batch").parquet(path))
+     .hint("rebalance", "batch").write.partitionBy("batch").parquet(path))
     return path, rows.schema
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tidemark.functions import scalars as X
 from tidemark.functions.ordered import exact_quantiles
@@ -35,10 +36,17 @@ def prefer_completed(rows: DataFrame, keys: Sequence[str] = RESULT_KEYS, seq: st
     """One row per key: a completed one if there is any, and of those the latest.
 
     An aggregate, not a window: each task reduces its own rows before the
-    shuffle, so a key repeated any number of times stays one row per task.
+    shuffle, so a key repeated any number of times stays one row per task. A plain
+    ``seq`` is reduced first, in a hash table, as aggregates of whole rows sort them;
+    only rows that reach their key's best are looked at again.
     """
     rest = [c for c in rows.columns if c not in keys]
     done = status_or_ok(F.col("status")).isin(*COMPLETED) if "status" in rows.columns else F.lit(True)
+    if isinstance(rows.schema[seq].dataType, NumericType):
+        every = rows.groupBy(*keys).agg(F.max(done).alias("_done"), F.max(F.when(done, F.col(seq))).alias("_done_seq"), F.max(seq).alias("_any_seq"))
+        top = every.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_done", F.when(F.col("_done"), F.col("_done_seq")).otherwise(F.col("_any_seq")).alias("_top"))
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        rows = rows.join(top, reduce(lambda a, b: a & b, [*same, done == F.col("_done"), F.col(seq).eqNullSafe(F.col("_top"))]), "left_semi")
     best = F.max_by(F.struct(*rest), F.struct(done.alias("done"), F.col(seq).alias("seq")))
     picked = rows.groupBy(*keys).agg(best.alias("_r"))
     return picked.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*rows.columns)

@@ -83,7 +83,7 @@ def compact(spark: SparkSession, path: str, threshold: int = COMPACT_AT, file_by
 
     The merged shard is written before the loose ones go, so a crash leaves
     repeated rows, which deduplication removes. It has as many files as its bytes ask
-    for.
+    for; a task streams whole files into one, so it neither sorts nor holds its rows.
     """
     loose = [b for b in batches(spark, path) if not b.startswith("batch=compact")]
     if len(loose) < threshold:
@@ -93,7 +93,7 @@ def compact(spark: SparkSession, path: str, threshold: int = COMPACT_AT, file_by
         fs, p = _fs(spark, f"{path}/{b}")
         held += fs.getContentSummary(p).getLength()
     merged = spark.read.option("mergeSchema", True).parquet(*[f"{path}/{b}" for b in loose])
-    merged.repartition(max(1, -(-held // file_bytes))).write.parquet(f"{path}/batch=compact-{uuid.uuid4().hex}")
+    merged.coalesce(max(1, -(-held // file_bytes))).write.parquet(f"{path}/batch=compact-{uuid.uuid4().hex}")
     for b in loose:
         fs, p = _fs(spark, f"{path}/{b}")
         fs.delete(p, True)
